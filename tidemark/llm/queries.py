@@ -58,8 +58,8 @@ windows AS (
   SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS win
   FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
 placed AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS nth FROM windows),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS at FROM placed WHERE nth > 1),
-lost AS (SELECT doc_id, list(at) AS ats FROM gone GROUP BY doc_id)
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS pos FROM placed WHERE nth > 1),
+lost AS (SELECT doc_id, list(pos) AS ats FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ats), 0)::BIGINT AS n_removed,
   sha256(coalesce(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: ats IS NULL OR NOT list_contains(ats, k)), lambda k: w[k]), ' '), '')) AS kept_sha256
 FROM words LEFT JOIN lost USING (doc_id)
@@ -84,7 +84,7 @@ wins AS (
 sizes AS (SELECT DISTINCT size FROM wins),
 dwin AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS win FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM dw, sizes)),
 occ AS (SELECT doc_id, i, size, item_id FROM dwin JOIN wins USING (win, size)),
-hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS at FROM occ) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS pos FROM occ) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
