@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, simhash_dedup, substring_dedup
+from tidemark.llm import decontaminate, html_extract, language_id, license_scan, line_dedup, mixing, quality_knn, quality_rules, simhash_dedup, substring_dedup
 from tidemark.llm.common import table
 
 NO_ID = -(2**63)
@@ -17,11 +17,34 @@ def _id(doc: str = "doc") -> Column:
     return F.when(F.col(doc) != NO_ID, F.col(doc))
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op2_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), *quality_rules.COUNTS[:5], "base_failed", "kept")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return out.withColumn("weight", F.round("weight", 6)).withColumn("copies", F.col("copies").cast("long"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -32,6 +55,18 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id().alias("doc_id"), simhash_dedup.hex_of(F.col("f0")).alias("fingerprint"), _id("component").alias("component_id"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    families = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["family"])))
+    return out.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("found").cast("long").alias("n_license"),
+        F.array_join(families, ",").alias("families"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["probability"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     n_hit = F.size("hits").cast("long")
@@ -45,8 +80,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OPERATORS = (
+    op1_html_extract,
+    op2_quality_knn,
+    op3_language_id,
+    op4_substring_dedup,
+    op5_quality_rules,
+    op6_mixing,
+    op7_line_dedup,
+    op8_simhash_dedup,
+    op9_license_scan,
+    op10_decontaminate,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op7_line_dedup, op8_simhash_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
