@@ -188,7 +188,8 @@ def training_set(lines: list[bytes], seed: int = 2) -> tuple[list[list[bytes]],
     rng = np.random.default_rng(seed)
     templates = _templates()
     filler = sorted({w for x in lines for w in words_of(x)} | {b"software", b"work", b"file", b"project", b"author", b"the", b"and"})
-    unknown = [w for x in lines if (w := words_of(x)) and max(overlap(t, w[:200]) for _, t in templates) < CONFIRM]
+    near = lambda t, w: len(set(t) & set(w)) >= CONFIRM * len(set(t)) and overlap(t, w) >= CONFIRM
+    unknown = [w for x in lines if (w := words_of(x)[:200]) and not any(near(t, w) for _, t in templates)]
     unknown += [[filler[i] for i in rng.integers(0, len(filler), rng.integers(3, 30))] for _ in range(800)]
     # A licence's words out of order, or the words that all licences share, aren't a licence.
     for _ in range(800):

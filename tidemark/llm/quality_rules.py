@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
 _POINTS = b".,;:!?"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_points", "n_distinct")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_points", "n_adjacent")
 
 #: Name to numerator and denominator; a denominator of None is 1.
 RATIOS = {
@@ -40,7 +41,7 @@ RATIOS = {
     "upper_share": ("n_upper", "word_chars"),
     "digit_share": ("n_digits", "word_chars"),
     "point_share": ("n_points", "n_words"),
-    "distinct_share": ("n_distinct", "n_words"),
+    "adjacent_share": ("n_adjacent", "n_words"),
 }
 
 
@@ -73,7 +74,7 @@ def counts_of(text: bytes | None) -> tuple[int, ...]:
         drop(_UPPER),
         drop(_DIGITS),
         drop(_POINTS),
-        len(set(words)),
+        sum(map(eq, words, words[1:])),
     )
 
 
