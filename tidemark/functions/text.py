@@ -10,6 +10,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The 29 white-space code points, as the inside of a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -19,7 +20,7 @@ def strip(col: Column) -> Column:
     return F.regexp_replace(col, f"^[{WS}]+|[{WS}]+$", "") if isinstance(col, Column) else strip(F.col(col))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: html.unescape(x) if x is not None and "&" in x else x)
 

@@ -14,6 +14,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A placeholder, to be set against labelled data.
 CONCERN_THRESHOLD = 0.50
@@ -111,7 +112,7 @@ def detect_language(text: str | None) -> str | None:
     return hits[0][1] if hits[0][0] > hits[1][0] else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def language_of(s: pd.Series) -> pd.Series:
     """By stop words: deterministic, and not the result of any particular library."""
     return s.map(detect_language)

@@ -25,6 +25,7 @@ def _pairs(series: DataFrame, by: list[str], time_col: str, value_col: str) -> D
     """Each value with all later ones of its series. A series has one value a period: a few hundred or thousand."""
     w = Window.partitionBy(*by).orderBy(time_col) if by else Window.orderBy(time_col)
     numbered = series.select(*by, F.col(value_col).cast("double").alias("y"), F.row_number().over(w).alias("i"))
+    w = Window.partitionBy(*by).orderBy("i") if by else Window.orderBy("i")
     later = F.collect_list(F.struct("i", "y")).over(w.rowsBetween(1, Window.unboundedFollowing))
     return numbered.withColumn("later", later).select(*by, "i", "y", F.explode("later").alias("b")).select(*by, "i", "y", F.col("b.i").alias("j"), F.col("b.y").alias("z"))
 

@@ -139,13 +139,13 @@ def value_counts_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*)::BIGINT AS n,
+SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, count(*)::BIGINT AS n,
   avg((o_orderstatus = 'F')::INT)::DOUBLE AS concern_share, avg(CASE o_orderstatus WHEN 'F' THEN -1 WHEN 'O' THEN 1 ELSE 0 END)::DOUBLE AS mean_polarity
 FROM orders GROUP BY 1""")
 def monthly_concern(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.col("o_orderstatus")
     rows = read_table(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("created"), (s == "F").cast("int").alias("concern_flag"), F.when(s == "F", -1).when(s == "O", 1).otherwise(0).alias("polarity"))
-    return series.monthly(rows)
+    return series.monthly(rows).withColumn("month", F.date_format("month", "yyyy-MM-dd"))
 
 
 @query("SELECT lang, count(*)::BIGINT AS n, avg(toxic)::DOUBLE AS concern_share FROM documents JOIN labels USING (doc_id) GROUP BY lang")
