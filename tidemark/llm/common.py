@@ -76,6 +76,18 @@ def id_text_mod(col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(n))
 
 
+def hash_sample(df: DataFrame, keys: list[str], most: int, n: int | None = None) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hash of their keys. n is the number of rows, or more.
+
+    Rows far above the expected cut are filtered out first, so that tasks don't each send ``most`` rows."""
+    n = df.count() if n is None else n
+    whole = F.xxhash64(*keys)
+    h = F.pmod(whole, F.lit(1 << 30))
+    if n > 16 * most:
+        df = df.where(h < (1 << 30) * 8 * most // n)
+    return df.orderBy(h, whole, *keys).limit(most)
+
+
 def by_batch(f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None]):
     """A function for mapInArrow out of one that turns a batch into a batch, several, or none."""
 

@@ -25,14 +25,15 @@ def _star(pairs: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """edges (a, b) of longs to (node, component): the smallest node that each linked node reaches."""
+    """edges (a, b) of longs to (node, component): the smallest node that each linked node reaches, for all but those smallest."""
     state = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     for _ in range(most):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Written before the join, so that the join is of two plain shuffles and a hub's part can be split.
+        lowest = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = _star(both.where("v > u"), lowest)  # every larger neighbour hangs on the lowest one
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        small = materialise(_star(down, _lowest(down)), "stars")
+        down = materialise(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "large-stars")
+        small = materialise(_star(down, materialise(_lowest(down), "lowest")), "stars")
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         if is_empty(small.join(state, ["u", "v"], "left_anti")) and is_empty(state.join(small, ["u", "v"], "left_anti")):
             return small.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import by_batch, slices
+from tidemark.llm.common import by_batch, materialise, slices
 
 WINDOW = 10
 #: Items in one block of the query set; a block of items of 1,000 words makes some 100 MB of tables.
 ITEMS_AT_ONCE = 5_000
+BLOCKS_AT_ONCE = 4
 SPACE, END = 32, 10
 
 
@@ -180,30 +182,47 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, at_once: int):
         yield windows_of(held)
 
 
-def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """row (a struct of the columns of docs), n_words, hits (places of the words in an occurrence), items (sorted names).
+def _joined(a: list, b: list) -> list:
+    return sorted({*a, *b})
+
 
-    With several blocks of items, each text meets the blocks in turn, in one pass."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(w) for w in item_blocks(items, item_col, item_text, at_once)]
+def searched(rows: DataFrame, windows: list[dict[bytes, list[str]]], last: bool) -> DataFrame:
+    """rows (text, row, and n_words, hits, items from before or not at all) with what these windows add; the last
+    search leaves the text behind."""
+    spark = rows.sparkSession
+    blocks = [spark.sparkContext.broadcast(w) for w in windows]
+    again = "hits" in rows.columns
 
     def run(batch: pa.RecordBatch):
         searchers = _searchers(blocks)
         for piece in slices(batch, 0):
             texts = piece.column(0).to_pylist()
-            n_words, hits, names = None, None, None
-            for s in searchers or [Searcher({})]:
+            hits, names = (piece.column(i).to_pylist() for i in (3, 4)) if again else ([[]] * len(texts), [[]] * len(texts))
+            for s in searchers:
                 found = s.search(texts)
-                if n_words is None:
-                    n_words, hits, names = map(list, zip(*found, strict=True))
-                else:
-                    hits = [np.union1d(a, b[1]) for a, b in zip(hits, found, strict=True)]
-                    names = [sorted({*a, *b[2]}) for a, b in zip(names, found, strict=True)]
-            extra = [pa.array(n_words, pa.int64()), pa.array([h.tolist() for h in hits], pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([piece.column(1), *extra], ["row", "n_words", "hits", "items"])
-
-    ready = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
-    return ready.mapInArrow(by_batch(run), f"row {ready.schema['row'].dataType.simpleString()}, n_words long, hits array<long>, items array<string>")
+                n_words = [f[0] for f in found]
+                hits = [_joined(h, f[1].tolist()) for h, f in zip(hits, found, strict=True)]
+                names = [_joined(n, f[2]) for n, f in zip(names, found, strict=True)]
+            extra = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([piece.column(i) for i in (range(1, 2) if last else range(2))] + extra, schema.names)
+
+    kept = [T.StructField(c, rows.schema[c].dataType) for c in (["row"] if last else ["text", "row"])]
+    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    return rows.mapInArrow(by_batch(run), schema)
+
+
+def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+    """row (a struct of the columns of docs), n_words, hits (places of the words in an occurrence), items (sorted names).
+
+    A pass over the texts searches for up to BLOCKS_AT_ONCE blocks of items, which bounds what driver and workers
+    hold; a larger query set takes more passes, each written before the next."""
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
+    held: list[dict] = []
+    for windows in item_blocks(items, item_col, item_text, at_once):
+        if len(held) == BLOCKS_AT_ONCE:
+            rows, held = materialise(searched(rows, held, False), "hits"), []
+        held.append(windows)
+    return searched(rows, held or [{}], True)
 
 
 _CACHE: dict[str, list[Searcher]] = {}

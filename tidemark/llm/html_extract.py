@@ -48,9 +48,12 @@ NOISE_WORDS = frozenset(
     "related recommended share sharing social comment comments commentlist respond reply replies disqus discussion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
     "search pagination pager toolbar skip skiplink copyright legal disclaimer".split()
 )
+#: Parts of names that say as much inside a longer name, and words that take the meaning from those beside them.
+NOISE_STEMS = ("comment", "sidebar", "advert", "cookie", "breadcrumb", "newsletter", "footer", "navbar", "pagination")
+NOT_NOISE = frozenset(["has", "with", "no", "without"])
 MAIN_WORDS = frozenset("article main content post entry story".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMES = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -114,12 +117,12 @@ def _ended(here: Node, tag: str) -> Node:
     """Where an element opens once those that it ends by rule are closed."""
     same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
     stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ("td", "th", "li", "div", "article", "section", "blockquote", "body"))
-    up = here
+    up, opens_in = here, here
     while up is not None and up.tag != "#page" and up.tag not in stop:
         if up.tag in same or up.tag == "p" and tag in CLOSES_P:
-            return up.parent
+            opens_in = up.parent
         up = up.parent
-    return here
+    return opens_in
 
 
 def prior(node: Node) -> int | None:
@@ -130,7 +133,7 @@ def prior(node: Node) -> int | None:
         return 0 if node.names & {"comment", "comments", "ad", "advert", "sponsored", "promo"} else 1
     if node.tag in ("html", "body", "#page"):
         return None
-    if node.names & NOISE_WORDS:
+    if not node.names & NOT_NOISE and (node.names & NOISE_WORDS or any(stem in n for n in node.names for stem in NOISE_STEMS)):
         return 0
     return 1 if node.names & MAIN_WORDS and node.tag in BLOCKS else None
 

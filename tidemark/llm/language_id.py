@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, id_text_mod, slices
+from tidemark.llm.common import by_batch, hash_sample, id_text_mod, slices
 
 #: Bounds of what is learned from: documents (those with the smallest hash of their id) and, of those, words.
 SAMPLE_DOCS, SAMPLE_WORDS = 3_000, 40_000
@@ -222,7 +222,7 @@ class Pooler:
 def training_words(docs: DataFrame, fold: int, folds: int) -> list[tuple[str, str, int]]:
     """(lang, word, times) of a bounded sample of documents and, of their words, a bounded number per language."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (id_text_mod(F.col("doc_id"), folds) != fold))
-    ids = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    ids = hash_sample(usable.select("doc_id"), ["doc_id"], SAMPLE_DOCS, docs.count())
     chosen = usable.join(F.broadcast(ids.select(F.col("doc_id").alias("chosen")).distinct()), F.col("doc_id").eqNullSafe(F.col("chosen")))
     words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("word"))
     counted = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("times"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, slices
+from tidemark.llm.common import by_batch, hash_sample, slices
 
 #: Bits of the feature space, and the bound of the corpus lines that stand for unknown text in training.
 BITS, SAMPLE_LINES = 15, 4_000
@@ -208,7 +208,8 @@ def training_set(lines: list[bytes], seed: int = 2) -> tuple[list[list[bytes]],
 
 
 def train(docs: DataFrame, sample: int = SAMPLE_LINES) -> Model:
-    lines = docs.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where("length(line) > 8")
+    some = hash_sample(docs.select("doc_id", "text"), ["doc_id"], sample)  # each has a line at least
+    lines = some.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where("length(line) > 8")
     lines = lines.select("doc_id", F.substring("line", 1, 2000).alias("line"))
     got = lines.orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line").limit(sample).select("line").collect()
     paragraphs, target = training_set(sorted({r["line"].encode("utf-8", "replace") for r in got}))

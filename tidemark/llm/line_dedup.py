@@ -5,8 +5,9 @@ line keys, merge-anti-joined with every run, and what no run knows is written as
 level that holds ``fanout`` runs is compacted into one run of the next level. All tables have the same bucketing
 by hash, so neither the joins nor the compaction of a bucket moves the runs over the network.
 
-Defined results: a null text is one empty line; a null doc_id is one document below all others; rows that repeat
-a doc_id count as one document; a line that a document repeats counts once, and all its copies go or stay together.
+Defined results: a null text is one empty line; a null doc_id is below all others; rows that repeat a doc_id count
+each as a document, and none of the rows with the largest doc_id loses the line; a line that a document repeats
+counts once, and all its copies go or stay together.
 """
 
 from __future__ import annotations

@@ -94,7 +94,7 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     plan = materialise(plan.select("key", "tokens", "weight", "epochs", "rest"), "plan")
     cuts = materialise(cut_points(sized, plan), "cuts")
 
-    final = plan.join(cuts, "key", "left").select(F.col("key").alias("k"), "weight", "epochs", "b1", "b2", "b3")
+    final = materialise(plan.join(cuts, "key", "left").select(F.col("key").alias("k"), "weight", "epochs", "b1", "b2", "b3"), "weights")
     out = sized.join(final, F.col("key") == F.col("k"), "left")
     inside = (F.col("c1") < F.col("b1")) | ((F.col("c1") == F.col("b1")) & ((F.col("c2") < F.col("b2")) | ((F.col("c2") == F.col("b2")) & F.coalesce(F.col("h") <= F.col("b3"), F.lit(False)))))
     copies = F.when(F.col("weight").isNull(), F.lit(1)).otherwise(F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("long"))

@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import by_batch, materialise
+from tidemark.llm.common import by_batch, hash_sample, materialise
 
 #: At most so many labelled documents are learned from: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -86,8 +87,9 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(COUNTS))]
         return pa.RecordBatch.from_arrays([batch.column(1), *cols], ["row", *COUNTS])
 
-    ready = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct(*[c for c in docs.columns]).alias("row"))
-    return ready.mapInArrow(by_batch(run), ", ".join([f"row {ready.schema['row'].dataType.simpleString()}", *[f"{c} long" for c in COUNTS]]))
+    ready = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
+    schema = T.StructType([ready.schema["row"], *[T.StructField(c, T.LongType()) for c in COUNTS]])
+    return ready.mapInArrow(by_batch(run), schema)
 
 
 def ratio(name: str) -> Column:
@@ -191,7 +193,7 @@ def verdict(rules: list[Rule]) -> Column:
 def labelled_sample(labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(labelled, label): at most ``most`` labelled ids, those with the smallest hash; an id that repeats has its least label."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("labelled")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
-    return one.orderBy(F.xxhash64("labelled"), "labelled").limit(most)
+    return hash_sample(one, ["labelled"], most, labels.count())
 
 
 def learn_from(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id") -> list[Rule]:

@@ -140,6 +140,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP6_SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS n_tokens, md5('17:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+p AS (SELECT source, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM d) AS p FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+bisect(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+  FROM (SELECT i, any_value(lo) AS lo, any_value(hi) AS hi, any_value(mid) AS mid,
+          ln(sum(pow(p, mid))) - any_value(mid) * sum(pow(p, mid) * ln(p)) / sum(pow(p, mid)) >= 0.98 * ln(count(*)) AS ok
+        FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid FROM bisect WHERE i < 45), p GROUP BY i)),
+t AS (SELECT round(greatest((SELECT lo FROM bisect WHERE i = 45), (SELECT CASE WHEN max(p) / min(p) > 4 THEN 1 - ln(4) / ln(max(p) / min(p)) ELSE 0 END FROM p)), 6) AS t),
+w AS (SELECT source, tokens, pow(p, t) / sum(pow(p, t)) OVER () AS weight FROM p, t),
+q AS (SELECT source, tokens, weight, weight * (SELECT max(tokens / weight) FROM w) AS quota FROM w),
+plan AS (SELECT source, weight, floor(quota / tokens + 1e-9) AS epochs, greatest(0, floor(quota - floor(quota / tokens + 1e-9) * tokens + 1e-6)) AS rest FROM q),
+run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY h) AS upto FROM d)
+SELECT doc_id, run.source, n_tokens, round(coalesce(weight, 0), 6) AS weight, coalesce(epochs + (upto <= rest)::INT, 1)::BIGINT AS copies, ('0x' || substr(h, 1, 3))::INT AS block
+FROM run LEFT JOIN plan ON run.source IS NOT DISTINCT FROM plan.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op6_mixing": OP6_SQL, "op4_substring_dedup": OP4_SQL, "op7_line_dedup": OP7_SQL, "op10_decontaminate": OP10_SQL}
