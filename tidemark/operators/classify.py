@@ -76,6 +76,29 @@ def with_scores(df: DataFrame, scorer: Scorer | None = None, text_col: str = "cl
     return df.withColumn("__p", f(F.col(text_col))).select(*df.columns, "__p.*")
 
 
+class LabelScorer(Protocol):
+    labels: list[str]
+
+    def score(self, texts: list[str]) -> list[list[float]]:
+        """For each text a probability of each label, in the order of labels."""
+
+
+def with_labels(df: DataFrame, scorer: LabelScorer, text_col: str = "clean_body", threshold: float = 0.5) -> DataFrame:
+    """label_scores (label to probability), the best label, and all labels at the threshold or above. The labels are the
+    scorer's own, as of a zero-shot model."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([list(map(float, x)) for x in scorer.score(s.tolist())])
+
+    names = F.array(*[F.lit(x) for x in scorer.labels])
+    out = df.withColumn("__p", f(F.col(text_col)))
+    best = F.element_at(names, F.array_position("__p", F.array_max("__p")).cast("int"))
+    over = F.filter(names, lambda x, i: F.element_at(F.col("__p"), i + 1) >= threshold)
+    return out.withColumn("label_scores", F.map_from_arrays(names, F.col("__p"))).withColumn("label", best).withColumn("labels", over).drop("__p")
+
+
 def polarity() -> Column:
     return F.col("p_pos") - F.col("p_neg")
 

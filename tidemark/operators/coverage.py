@@ -89,3 +89,9 @@ def manifest(targets: DataFrame, outputs: DataFrame, returned: DataFrame, by: li
 def duplicates(rows: DataFrame, col: str, by: list[str]) -> DataFrame:
     """By group the rows and the distinct values: equal unless some value repeats."""
     return rows.groupBy(*by).agg(F.count(col).alias("n"), F.countDistinct(col).alias("n_distinct")).withColumn("repeated", F.col("n") > F.col("n_distinct"))
+
+
+def pending_total(pending: DataFrame, values: DataFrame, key: list[str], value_col: str) -> DataFrame:
+    """One row: the number of pending keys and the sum of their values; a key without a value adds nothing."""
+    rows = pending.select(*key).distinct().join(values.select(*key, value_col), key, "left")
+    return rows.agg(F.countDistinct(F.struct(*key)).alias("pending"), F.coalesce(F.sum(value_col), F.lit(0)).alias("total"))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.values import month_of
 
@@ -21,30 +22,31 @@ def n_months(series: DataFrame) -> DataFrame:
     return series.agg(F.countDistinct("month").alias("months"))
 
 
+def _keyed(series: DataFrame, by: list[str] | None) -> tuple[DataFrame, list[str]]:
+    """With a constant key where there is one series."""
+    return (series, by) if by else (series.withColumn("__all", F.lit(1)), ["__all"])
+
+
 def _pairs(series: DataFrame, by: list[str], time_col: str, value_col: str) -> DataFrame:
     """Each value with all later ones of its series. A series has one value a period: a few hundred or thousand."""
-    w = Window.partitionBy(*by).orderBy(time_col) if by else Window.orderBy(time_col)
+    w = Window.partitionBy(*by).orderBy(time_col)
     numbered = series.select(*by, F.col(value_col).cast("double").alias("y"), F.row_number().over(w).alias("i"))
-    w = Window.partitionBy(*by).orderBy("i") if by else Window.orderBy("i")
-    later = F.collect_list(F.struct("i", "y")).over(w.rowsBetween(1, Window.unboundedFollowing))
+    later = F.collect_list(F.struct("i", "y")).over(Window.partitionBy(*by).orderBy("i").rowsBetween(1, Window.unboundedFollowing))
     return numbered.withColumn("later", later).select(*by, "i", "y", F.explode("later").alias("b")).select(*by, "i", "y", F.col("b.i").alias("j"), F.col("b.y").alias("z"))
 
 
 def mann_kendall(series: DataFrame, time_col: str, value_col: str, by: list[str] | None = None) -> DataFrame:
     """n, S, its variance with the correction for ties, Z with the continuity correction, and the two-sided p."""
-    by = by or []
-    pairs = _pairs(series, by, time_col, value_col)
-    s = pairs.groupBy(*by).agg(F.sum(F.signum(F.col("z") - F.col("y"))).cast("long").alias("s"))
-    counts = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    ties = series.groupBy(*by, F.col(value_col).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("t"))
-    ties = ties.groupBy(*by).agg(F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("ties"))
-    join = (lambda a, b: a.join(b, by)) if by else (lambda a, b: a.join(F.broadcast(b), F.lit(True)))  # one row each
-    out = join(join(counts, s), ties)
+    series, key = _keyed(series, by)
+    s = _pairs(series, key, time_col, value_col).groupBy(*key).agg(F.sum(F.signum(F.col("z") - F.col("y"))).cast("long").alias("s"))
+    times = series.groupBy(*key, F.col(value_col).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("t"))
+    counts = times.groupBy(*key).agg(F.sum("t").alias("n"), F.sum(F.col("t") * (F.col("t") - 1) * (2 * F.col("t") + 5)).alias("ties"))
+    out = counts.join(s, key)
     n, s_ = F.col("n"), F.col("s")
-    out = out.withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("ties")) / 18.0).drop("ties")
+    out = out.withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("ties")) / 18.0).drop("ties", "__all")
     out = out.withColumn("z", F.when(s_ > 0, (s_ - 1) / F.sqrt("var_s")).when(s_ < 0, (s_ + 1) / F.sqrt("var_s")).otherwise(0.0))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def p_value(z: pd.Series) -> pd.Series:
         return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
 
@@ -53,8 +55,9 @@ def mann_kendall(series: DataFrame, time_col: str, value_col: str, by: list[str]
 
 def sen_slope(series: DataFrame, time_col: str, value_col: str, by: list[str] | None = None) -> DataFrame:
     """The median of the slopes of all pairs of periods."""
-    by = by or []
-    return _pairs(series, by, time_col, value_col).groupBy(*by).agg(F.median((F.col("z") - F.col("y")) / (F.col("j") - F.col("i"))).alias("slope"))
+    series, key = _keyed(series, by)
+    out = _pairs(series, key, time_col, value_col).groupBy(*key).agg(F.median((F.col("z") - F.col("y")) / (F.col("j") - F.col("i"))).alias("slope"))
+    return out.drop("__all")
 
 
 def segment(y: np.ndarray, penalty: float | None = None, least: int = 2) -> list[int]:

@@ -181,7 +181,8 @@ def frame_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation")
     subs = nation.select(F.concat(F.lit("T"), "n_regionkey").alias("tier"), F.col("n_name").alias("subreddit"))
     terms = read_table(spark, sf_dir, "part").select(F.concat(F.lit("T"), F.col("p_size") % 5).alias("tier"), F.col("p_brand").alias("term")).distinct()
-    saturated = nation.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("subreddit")).join(terms.select("term").distinct(), F.lit(True))
+    marked = nation.where("n_nationkey % 3 = 0").select(F.concat(F.lit("T"), "n_regionkey").alias("tier"), F.col("n_name").alias("subreddit"))
+    saturated = marked.join(terms, "tier").select("subreddit", "term")
     jobs = frame.plan_jobs(subs, terms, saturated, frame.windows(spark, "annual"), frame.windows(spark, "none"))
     return jobs.withColumn("file", frame.job_file())
 
@@ -522,6 +523,48 @@ def completion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.completion(n.withColumn("state", F.when(F.col("n") >= 20, "complete").when(F.col("n") >= 10, "partial").otherwise("pending")))
 
 
+@query("SELECT conv_id, count(role)::BIGINT AS n, count(DISTINCT role)::BIGINT AS n_distinct, count(role) > count(DISTINCT role) AS repeated FROM conversations GROUP BY conv_id")
+def duplicate_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.duplicates(read_table(spark, sf_dir, "conversations"), "role", ["conv_id"])
+
+
+@query("SELECT round(sum(o_totalprice::DECIMAL(18,2)), 2)::DOUBLE AS spent FROM orders")
+def spent_to_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read_table(spark, sf_dir, "orders").select(F.col("o_totalprice").cast("decimal(18,2)").alias("est_usd"))
+    return frame.spent(log).select(F.col("spent").cast("double").alias("spent"))
+
+
+@query("""
+WITH e AS (SELECT sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS estimate FROM orders WHERE o_orderstatus = 'P')
+SELECT round(estimate, 2) AS estimate, round(estimate / 1999000, 6) AS ratio, estimate > 1999000 AS over FROM e""")
+def remaining_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = frame.remaining_budget(_order_jobs(spark, sf_dir), "cost", 1000, 2_000_000)
+    estimate = F.col("estimate").cast("double")
+    return out.select(F.round(estimate, 2).alias("estimate"), F.round("ratio", 6).alias("ratio"), "over")
+
+
+@query("""
+WITH p AS (SELECT c_custkey FROM customer WHERE c_nationkey % 5 = 0)
+SELECT count(DISTINCT c_custkey)::BIGINT AS pending, coalesce(sum(o_orderkey % 100), 0)::BIGINT AS total FROM p LEFT JOIN orders ON o_custkey = c_custkey""")
+def pending_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of some nations stand for pending jobs."""
+    pending = read_table(spark, sf_dir, "customer").where("c_nationkey % 5 = 0").select("c_custkey")
+    values = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), (F.col("o_orderkey") % 100).alias("v"))
+    return coverage.pending_total(pending, values, ["c_custkey"], "v")
+
+
+@query("""
+SELECT CASE WHEN a = 0 THEN 'quotes break the query' WHEN b >= 80 THEN 'quotes work' ELSE 'mixed' END AS quoting, CASE WHEN c >= 60 THEN 'loose fallback' ELSE 'limit of multi-word matching' END AS mechanism
+FROM (SELECT count(*) FILTER (lang = 'en') AS a, 100.0 * count(*) FILTER (lang = 'de' AND contains(text, 'der')) / count(*) FILTER (lang = 'de') AS b, 100.0 * count(*) FILTER (lang = 'fr' AND contains(text, 'est')) / count(*) FILTER (lang = 'fr') AS c FROM documents)""")
+def phrase_interpretation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang, text = F.col("lang"), F.col("text")
+    docs = _documents(spark, sf_dir).where(lang.isin("en", "de", "fr"))
+    hit = F.when(lang == "de", F.contains(text, F.lit("der"))).when(lang == "fr", F.contains(text, F.lit("est"))).otherwise(False)
+    arm = F.when(lang == "en", "A").when(lang == "de", "B").otherwise("C").alias("arm")
+    result = docs.groupBy(arm).agg(F.count(F.lit(1)).alias("posts"), (100.0 * F.count_if(hit) / F.count(F.lit(1))).alias("phrase_pct")).withColumn("overlap_pct", F.lit(0.0))
+    return phrases.interpretation(result)
+
+
 @query("SELECT conv_id, turn, substring(text, 1, 80) AS body_preview FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) <= 15")
 def thread_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At most 15 comments of a thread, as a collector would store."""
