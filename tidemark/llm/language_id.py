@@ -25,6 +25,8 @@ from tidemark.llm.common import by_batch, hash_sample, id_text_mod, slices
 #: Bounds of what is learned from: documents (those with the smallest hash of their id) and, of those, words.
 SAMPLE_DOCS, SAMPLE_WORDS = 3_000, 40_000
 HIDDEN = 12
+#: Bytes of text labelled at a time; their words take some 30 times as much.
+PIECE_BYTES = 1_500_000
 #: A longer run of letters is read in pieces of so many bytes.
 PIECE = 24
 UNKNOWN = "und"
@@ -182,7 +184,7 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 class Pooler:
     """Runs the network once for each word and pools documents. The store is emptied when it has grown large."""
 
-    def __init__(self, model: BiGRU, most: int = 300_000) -> None:
+    def __init__(self, model: BiGRU, most: int = 150_000) -> None:
         self.model, self.most = model, most
         self.clear()
 
@@ -265,7 +267,7 @@ def identify(docs: DataFrame, fold: int = 2, folds: int = 4, steps: int = 1500)
             if pooler is None:
                 _POOLERS.clear()
                 pooler = _POOLERS[sent._path] = Pooler(sent.value)
-        for piece in slices(batch, 1, 8_000_000):
+        for piece in slices(batch, 1, PIECE_BYTES):
             texts = [None if t is None else t.decode("utf-8", "replace") for t in piece.column(1).to_pylist()]
             found = pooler.label(texts) if pooler else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
