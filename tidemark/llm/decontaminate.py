@@ -28,6 +28,8 @@ WINDOW = 10
 #: Items in one block of the query set; a block of items of 1,000 words makes some 100 MB of tables.
 ITEMS_AT_ONCE = 5_000
 BLOCKS_AT_ONCE = 4
+#: Bytes of text searched at a time; the arrays of a search take some 40 times as much.
+PIECE_BYTES = 3_000_000
 SPACE, END = 32, 10
 
 
@@ -195,7 +197,7 @@ def searched(rows: DataFrame, windows: list[dict[bytes, list[str]]], last: bool)
 
     def run(batch: pa.RecordBatch):
         searchers = _searchers(blocks)
-        for piece in slices(batch, 0):
+        for piece in slices(batch, 0, PIECE_BYTES):
             texts = piece.column(0).to_pylist()
             hits, names = (piece.column(i).to_pylist() for i in (3, 4)) if again else ([[]] * len(texts), [[]] * len(texts))
             for s in searchers:
