@@ -186,24 +186,30 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     part = F.coalesce(F.xxhash64(text), F.lit(0)).bitwiseAND(F.lit(2**31 - 1))
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), part.alias("part"), text.alias("text"))
     seen = materialise(scanned(ids, window, gram), "scanned")
-    first = seen.groupBy(F.col("whole").alias("w")).agg(F.min("doc").alias("first"))
+    # The one row of each key is written first: only a join of two plain shuffles has its skewed parts split.
+    first = materialise(seen.groupBy(F.col("whole").alias("w")).agg(F.min("doc").alias("first")), "first")
     base = materialise(seen.join(first, F.col("whole") == F.col("w")).withColumn("copy", F.col("doc") > F.col("first")).drop("w", "first", "whole"), "texts")
     discard(seen)
+    discard(first)
 
     seeds = base.where("NOT copy").select("doc", "part", F.explode(F.arrays_zip("grams", "places")).alias("x"))
     seeds = seeds.select("doc", "part", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
     often = seeds.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+    often = materialise(often, "often")
     shared = seeds.join(often, F.col("gram") == F.col("g"), "left_semi").groupBy(F.col("doc").alias("d"), F.col("part").alias("p")).agg(F.collect_set("place").alias("seeds"))
     shared = materialise(shared, "seeds")
+    discard(often)
     seeded = ids.join(shared, (F.col("doc") == F.col("d")) & (F.col("part") == F.col("p"))).select("doc", "part", "text", "seeds")
     windows = materialise(extended(seeded, window, gram), "windows")
     discard(shared)
 
     earliest = windows.groupBy(F.col("w1").alias("e1"), F.col("w2").alias("e2")).agg(F.min(F.struct("doc", "place")).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    earliest = materialise(earliest.drop("n"), "earliest")
     repeats = windows.join(earliest, (F.col("w1") == F.col("e1")) & (F.col("w2") == F.col("e2"))).where(F.struct("doc", "place") > F.col("at"))
     repeats = repeats.select(F.col("doc").alias("d"), F.shiftright("place", 32).alias("p"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("start"))
     starts = materialise(repeats.groupBy("d", "p").agg(F.collect_set("start").alias("starts")), "repeats")
     discard(windows)
+    discard(earliest)
 
     touched = ids.join(starts, (F.col("doc") == F.col("d")) & (F.col("part") == F.col("p"))).select("doc", "part", "text", "starts")
     cut = materialise(cut_out(touched, window).dropDuplicates(["d", "p"]), "cut")
