@@ -132,6 +132,68 @@ def test_simhash_stage(spark):
     assert 904 in left and 905 not in left
 
 
+def near_pairs(seed=8):
+    """Texts in pairs of similarities from 0.55 to 1, and a large group of them around a base."""
+    rng = np.random.default_rng(seed)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    out = []
+    for edits in [0, *range(1, 13)] * 20:
+        base = words(int(rng.integers(100, 260)))
+        copy = list(base)
+        for at in rng.choice(len(base), edits, replace=False):
+            copy[at] = words(1)[0]
+        out += [" ".join(base), " ".join(copy)]
+    base = words(150)
+    for _ in range(60):
+        copy = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 7)), replace=False):
+            copy[at] = words(1)[0]
+        out.append(" ".join(copy))
+    rows = [(i, t, "en", "hot") for i, t in enumerate(out)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in enumerate(out) for w in [t.split()]}
+    return rows, sets
+
+
+def plain_groups(sets):
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {find(i) for i in sets}
+
+
+@pytest.fixture(scope="module")
+def near(spark):
+    rows, sets = near_pairs()
+    return {r.doc_id for r in simhash_dedup.stage(X.frame(spark, rows)).collect()}, sets
+
+
+def test_stage_finds_all_at_the_threshold(near):
+    left, sets = near
+    assert not left - plain_groups(sets)
+
+
+def test_stage_keeps_what_is_below_the_threshold(near):
+    left, sets = near
+    assert not plain_groups(sets) - left
+
+
+def test_stage_keeps_rows_without_an_id_of_their_own(spark):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, words(1), None, None), (None, words(2), None, None), (None, words(2), None, None), (5, words(3), None, None), (5, words(4), None, None), (6, words(4), None, None), (3, words(5), None, None), (5, words(5), None, None)]
+    left = simhash_dedup.stage(X.frame(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left) == sorted([("None", words(1)), ("None", words(2)), ("5", words(3)), ("5", words(4)), ("3", words(5))])
+    assert simhash_dedup.stage(X.frame(spark, [])).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, is_empty, materialise
+from tidemark.llm.common import by_batch, discard, is_empty, materialise, slices
 from tidemark.llm.components import components
 
 MAX_LEVELS = 4
@@ -312,12 +312,151 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def stage(docs: DataFrame, width: int = 5, words: int = 4, radius: int = 43) -> DataFrame:
-    """As a filter stage: of each component the smallest doc_id stays, and of rows that repeat it one.
+# --- the stage: pairs by their shingles ------------------------------------------------------------------------
 
-    Five-word shingles and 256 bits: texts of similarity 0.8 differ by 39 bits in the mean, of 0.7 by 49."""
-    found = cluster(docs.select("doc_id", "text"), width, radius, words)
-    keep = found.where(F.col("doc") == F.col("component")).select(F.col("doc").alias("__keep")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"))
-    one = rows.join(keep, F.col("__doc") == F.col("__keep"), "left_semi").dropDuplicates(["__doc"])
+#: Two documents are near duplicates if they share ALIKE of the shingles that either has.
+ALIKE = (4, 5)
+#: Distinct texts looked at for common shingles, in how many of them a shingle is common, how many are broadcast.
+SAMPLE_TEXTS, COMMON_TEXTS, COMMON_MOST = 16_000, 4, 200_000
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_hash(h: np.ndarray) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(h.tobytes()))
+
+
+def prefix_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles of a set (sorted) one of which any near duplicate has among its own: the first in an order that
+    all sets follow, by hash but with the common ones (sorted hashes) last. A set of n shares at least ALIKE n with
+    a near duplicate, so the lowest shared one is among the first n - ALIKE n + 1 of both."""
+    first = len(h) - -(-len(h) * ALIKE[0] // ALIKE[1]) + 1
+    if len(common):
+        last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = np.concatenate([h[~last], h[last]])
+    return h[:first]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the sets (sorted) have a Jaccard similarity of ALIKE or more."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared * (ALIKE[0] + ALIKE[1]) >= ALIKE[0] * (len(a) + len(b))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, mark, text): rows of one doc and mark have one text, as a null doc_id or a repeated one needn't."""
+    text = F.col("text").cast("binary")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts of a sample have. Any set of them gives the same pairs; these make few."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batch, 0, 4_000_000):
+            sets = [shingle_set(x.as_py(), width) for x in piece.column(0)]
+            nodes = np.repeat(np.array([set_hash(h) for h in sets], np.int64), [len(h) for h in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64))], ["node", "key"])
+
+    share = max(1, rows.count() // SAMPLE_TEXTS)
+    some = rows.where(F.pmod(F.col("mark"), F.lit(share)) == 0).dropDuplicates(["mark"]).select("text")
+    held = some.mapInArrow(by_batch(run), "node long, key long").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_TEXTS)
+    return np.sort(np.array([r["key"] for r in held.orderBy(F.desc("n"), "key").limit(COMMON_MOST).collect()], np.int64).view(np.uint64))
+
+
+def prefixes(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
+    """(doc, mark, node, n, prefix) of rows (doc, mark, text): node is the hash of the set of shingles, n its size."""
+    sent = rows.sparkSession.sparkContext.broadcast(common)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batch, 2, 4_000_000):
+            sets = [shingle_set(x.as_py(), width) for x in piece.column(2)]
+            parts = [prefix_of(h, sent.value) for h in sets]
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), prefix], ["doc", "mark", "node", "n", "prefix"])
+
+    return rows.mapInArrow(by_batch(run), "doc long, mark long, node long, n int, prefix array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (node, shingles) are alike."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        a, b = ([np.frombuffer(x.as_buffer() or b"", np.uint64) for x in batch.column(i)] for i in (2, 3))
+        good = pa.array([alike(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
+
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batch, 2, 4_000_000):
+            yield from run(piece)
+
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(by_batch(cut), "a long, b long")
+
+
+def near_links(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) whose closure is that of all pairs of nodes (node, n, doc, mark, prefix) that are alike.
+
+    First every node of a bucket (a shingle of prefixes) is held against the bucket's lowest; then, where that has
+    left a bucket in several components, the pairs across them are: no pair is dropped but inside a component."""
+    dealt_rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
+    sizes = dealt_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
+    sizes = materialise(sizes, "shared-shingles")
+    shared = materialise(dealt_rows.join(sizes, "key"), "buckets")
+    left_out = lambda n: F.ceil(n * ALIKE[0] / ALIKE[1]) - 1
+    like_size = lambda n, m: F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]
+    star = shared.where((F.col("node") != F.col("lead.node")) & like_size(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+    star = materialise(star.distinct(), "star-pairs")
+
+    def held_to(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike; only the sets of nodes in pairs are made, of one row each."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+        own = materialise(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("doc").alias("d"), F.col("mark").alias("m")), "compared")
+        texts = rows.join(own, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text").dropDuplicates(["node"])
+        sets = materialise(texts.mapInArrow(by_batch(run), "node long, shingles binary"), "shingle-sets")
+        out = materialise(verified(pairs, sets), "links")
+        discard(sets)
+        return out
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batch, 1, 4_000_000):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in piece.column(1)], pa.binary())], ["node", "shingles"])
+
+    links = held_to(star)
+    roots = materialise(components(links).withColumnRenamed("node", "linked"), "star-roots")
+    wide = shared.where("size > 2").select("key", "node", "n")
+    wide = wide.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
+    wide = materialise(wide, "wide-buckets")
+    split = wide.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    wide = materialise(wide.join(split, "key", "left_semi"), "split-buckets")
+    other = wide.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
+    across = (F.col("key") == F.col("k")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("r")) & like_size(F.col("n"), F.col("m"))
+    # Of two prefixes the one that ends first shares nothing more with the other set: so many shingles are shared at most.
+    most = F.count(F.lit(1)) + F.greatest(left_out(F.first("n")), left_out(F.first("m")))
+    enough = most * sum(ALIKE) >= (F.first("n") + F.first("m")) * ALIKE[0]
+    pairs = wide.join(other, across).groupBy(F.col("node").alias("a"), "b").agg(enough.alias("enough")).where("enough").select("a", "b")
+    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = materialise(pairs.join(seen, ["a", "b"], "left_anti"), "further-pairs")
+    return links if is_empty(rest) else links.unionByName(held_to(rest))
+
+
+def stage(docs: DataFrame, width: int = 5) -> DataFrame:
+    """As a filter stage: of each component of near duplicates one row stays, of the smallest doc_id.
+
+    Near duplicates have a Jaccard similarity of ALIKE or more in their sets of five-word shingles; the join by
+    prefixes finds every such pair and each is verified. Rows are told apart by doc_id and text."""
+    rows = keyed(docs)
+    prints = materialise(prefixes(rows, width, common_shingles(rows, width)), "prefixes")
+    lowest = F.min(F.struct("doc", "mark")).alias("rep")
+    nodes = materialise(prints.groupBy("node").agg(lowest, F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", "rep.doc", "rep.mark", "prefix"), "distinct-sets")
+    discard(prints)
+    linked = components(near_links(rows, nodes, width)).withColumnRenamed("node", "linked")
+    label = nodes.join(linked, F.col("node") == F.col("linked"), "left").select("doc", "mark", F.coalesce("component", "node").alias("root"))
+    keep = materialise(label.groupBy("root").agg(lowest).select(F.col("rep.doc").alias("d"), F.col("rep.mark").alias("m")), "kept")
+    whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64(F.col("text").cast("binary")).alias("__mark"))
+    one = whole.join(keep, (F.col("__doc") == F.col("d")) & (F.col("__mark") == F.col("m")), "left_semi").dropDuplicates(["__doc", "__mark"])
     return one.select("row.*")
