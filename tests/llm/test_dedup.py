@@ -44,15 +44,17 @@ def test_equal_windows_have_equal_anchors():
 @pytest.mark.parametrize("rows", [ROWS, [], [(None, "x" * 50, None, None)], [(i, "l" * 40 + "\nshort\n" + "L" * 40, "en", "s") for i in range(9)]])
 @pytest.mark.parametrize("batches", [1, 5])
 def test_lines(spark, rows, batches):
-    out = line_dedup.dedup_lines(X.frame(spark, rows).select("doc_id", "text"), batches=batches, fanout=2)
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.s) for r in out.withColumn("s", F.sha2("kept_text", 256)).collect()}
+    docs = X.frame(spark, rows).withColumnsRenamed({"h": "n_lines", "doc": "n_dropped", "row": "kept_text"})
+    out = line_dedup.dedup_lines(docs, batches=batches, fanout=2)
+    got = {r.row.doc_id: (r.n_lines, r.n_dropped, r.s) for r in out.withColumn("s", F.sha2("kept_text", 256)).collect()}
+    assert out.schema["row"].dataType.names == docs.columns
     assert got == X.plain_lines(rows)
 
 
 def test_runs_are_disjoint_and_levelled(spark):
     index = line_dedup.LineRuns(spark, fanout=2)
     for lo in (30, 20, 10, 0):
-        docs = spark.range(lo, lo + 12).select(F.col("id").alias("doc"), F.array(F.encode(F.col("id").cast("string"), "utf-8")).alias("hs"))
+        docs = spark.range(lo, lo + 12).select(F.col("id").alias("doc"), F.encode(F.col("id").cast("string"), "utf-8").alias("h"))
         index.add(docs)
     assert len(index.runs()) == 1 and len(index.levels) == 3
     runs = spark.table(index.runs()[0])

@@ -56,8 +56,9 @@ def test_rules_without_labels(spark):
 
 def test_expression_equals_rules(spark):
     rows, labels = labelled()
-    counted = quality_rules.with_counts(X.frame(spark, rows)).cache()
-    rules = quality_rules.learn_from(counted, spark.createDataFrame(labels, "doc_id long, quality int"))
+    docs = X.frame(spark, rows)
+    counted = quality_rules.with_counts(docs)
+    rules = quality_rules.learn_from(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
     frame = counted.select("row.doc_id", *[quality_rules.ratio(r).alias(r) for r in quality_rules.RATIOS], quality_rules.verdict(rules).alias("kept")).toPandas()
     x = {r: frame[r].to_numpy(float) for r in quality_rules.RATIOS}
     assert rules and (frame["kept"].to_numpy() == ~np.logical_or.reduce([r.covers(x) for r in rules])).all()

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from tests.llm import fixture as X
@@ -18,6 +19,18 @@ def test_hits(spark, items, at_once):
     assert set(found[0].row.asDict()) == set(docs.columns)
 
 
+def test_long_texts_are_searched_in_segments():
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in rng.integers(0, 400, 3000)]
+    items = [(i, " ".join(words[a : a + n])) for i, (a, n) in enumerate([(0, 10), (11, 14), (1490, 40), (2960, 40), (700, 3), (701, 1)])]
+    whole, parts = D.Searcher(D.windows_of(items)), D.Searcher(D.windows_of(items))
+    text = (" ,".join(words)).encode()
+    n, hits, names = whole.search([text])[0]
+    for most in (1, 7, 100, 1001):
+        got = parts.search([b"x", text, None], most)[1]
+        assert got[0] == n == 3000 and got[1].tolist() == hits.tolist() and got[2] == names
+
+
 def test_no_documents(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert D.find_hits(X.frame(spark, []), items).count() == 0

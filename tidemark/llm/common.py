@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: space and U+0009 to U+000D.
@@ -21,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One is made only where the cluster names none."""
+    """The folder that driver and executors share. In local mode, where all is one machine, one is made if none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -37,29 +42,52 @@ def new_path(spark: SparkSession, name: str) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows as Parquet in the shared folder and read them back."""
+#: Paths written and not yet removed, with the session that wrote them.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Cut the lineage: write the rows as Parquet in the shared folder and read them back.
+
+    The table stays until discard(), or sweep() for what a lazy result still reads; the end of the driver sweeps too."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
+    _WRITTEN[path] = spark
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*by or []).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     out = spark.read.schema(df.schema).parquet(path)
+    out = out.select(*df.columns) if by else out
     out._stored_at = path
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing lazy depends on it."""
-    remove(df.sparkSession, df._stored_at)
+    for df in tables:
+        remove(df.sparkSession, df._stored_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.pop(path, None)
+
+
+def sweep(spark: SparkSession | None = None) -> int:
+    """Delete all that materialise() has left, once the results have been read or written; how many tables went."""
+    paths = [p for p, s in _WRITTEN.items() if spark is None or s is spark]
+    for path in paths:
+        with contextlib.suppress(Exception):  # a session that has ended takes its gateway with it
+            remove(_WRITTEN[path], path)
+        _WRITTEN.pop(path, None)
+    return len(paths)
+
+
+atexit.register(sweep)
 
 
 def is_empty(df: DataFrame) -> bool:
@@ -76,16 +104,33 @@ def id_text_mod(col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit(""))), F.lit(n))
 
 
-def hash_sample(df: DataFrame, keys: list[str], most: int, n: int | None = None) -> DataFrame:
-    """At most ``most`` rows, those with the smallest hash of their keys. n is the number of rows, or more.
+#: Cells of the hash range that a sample's cut is found in: so many counts, of each stratum, are summed up.
+CELL_BITS = 14
+
+
+def hash_sample(df: DataFrame, keys: list[str], most: int, by: str | None = None) -> DataFrame:
+    """The rows of at most ``most`` keys, those with the smallest hash; in each stratum ``by``, if one is named.
 
-    Rows far above the expected cut are filtered out first, so that tasks don't each send ``most`` rows."""
-    n = df.count() if n is None else n
-    whole = F.xxhash64(*keys)
-    h = F.pmod(whole, F.lit(1 << 30))
-    if n > 16 * most:
-        df = df.where(h < (1 << 30) * 8 * most // n)
-    return df.orderBy(h, whole, *keys).limit(most)
+    A key counts once however often it repeats, and one of its rows is kept. All rows are counted by cell of the hash
+    range first; the cells up to the one that completes the sample hold every row that can be in it, so min(most, the
+    number of keys) come back at any size, and the sort after that sees little more than the sample."""
+    h = F.xxhash64(*keys)
+    cell = F.shiftrightunsigned(F.col("__h"), 64 - CELL_BITS).cast("int").alias("__cell")
+    stratum = F.col(by) if by else F.lit(0)
+    marked = df.withColumn("__h", h).withColumn("__s", stratum)
+    sizes = marked.select("__s", "__h").distinct().groupBy("__s", cell).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy("__s").orderBy("__cell")) - F.col("__n")
+    cuts = sizes.withColumn("__before", upto).where(F.col("__before") < most).groupBy("__s").agg(F.max("__cell").alias("__last"))
+    found = {r["__s"]: r["__last"] for r in cuts.collect()}  # a row a stratum
+    if not found:
+        return df.limit(0)
+    if by is None:
+        near = marked.where(F.shiftrightunsigned("__h", 64 - CELL_BITS) <= found[0]).dropDuplicates(keys)
+        return near.orderBy("__h", *keys).limit(most).drop("__h", "__s")
+    last = df.sparkSession.createDataFrame([(k, v) for k, v in found.items()], f"__t {df.schema[by].dataType.simpleString()}, __last int")
+    near = marked.join(F.broadcast(last), F.col("__s").eqNullSafe(F.col("__t"))).where(F.shiftrightunsigned("__h", 64 - CELL_BITS) <= F.col("__last"))
+    first = F.row_number().over(Window.partitionBy("__s").orderBy("__h", *keys))
+    return near.dropDuplicates([by, *keys]).withColumn("__r", first).where(F.col("__r") <= most).drop("__h", "__s", "__t", "__last", "__r")
 
 
 def by_batch(f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | None]):
@@ -102,9 +147,14 @@ def by_batch(f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordB
     return run
 
 
-def slices(batch: pa.RecordBatch, col: int, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+def field_of(rows: pa.StructArray, name: str) -> pa.Array:
+    """A text column of a column of structs as bytes; null where the struct or the text is."""
+    return rows.field(rows.type.get_field_index(name)).cast(pa.binary())
+
+
+def slices(batch: pa.RecordBatch, col: int | pa.Array, most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the bytes in a binary column stay below a bound in each piece (or a piece is one row)."""
-    sizes = [0 if x is None else x for x in pa.compute.binary_length(batch.column(col)).to_pylist()]
+    sizes = [0 if x is None else x for x in pa.compute.binary_length(batch.column(col) if isinstance(col, int) else col).to_pylist()]
     start = total = 0
     for i, n in enumerate(sizes):
         if i > start and total + n > most:

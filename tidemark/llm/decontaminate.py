@@ -8,13 +8,18 @@ of bytes confirms. The patterns are a stated query set: they are read in blocks
 block is searched for in all documents.
 
 Defined results: a null text has no words; a null item text gives no window; items that repeat an item_id count
-once; a null doc_id is kept; a null item_id is left out, as it has no name to report.
+once; a null doc_id is kept; a null item_id is left out, as it has no name to report; a word inside several
+occurrences is hit once; rows that repeat have equal results; a text over SEGMENT_BYTES is searched in segments that
+overlap by a window less one word, so that no occurrence is cut; an empty table gives an empty result, and without
+items nothing is hit; the columns of docs come back inside ``row``, so no name can clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_batch, materialise, slices
+from tidemark.llm.common import by_batch, discard, field_of, materialise, slices
 
 WINDOW = 10
 #: Items in one block of the query set; a block of items of 1,000 words makes some 100 MB of tables.
 ITEMS_AT_ONCE = 5_000
 BLOCKS_AT_ONCE = 4
+#: Characters of the items of a block: their windows take some ten times as much.
+BLOCK_BYTES = 4_000_000
 #: Bytes of text searched at a time; the arrays of a search take some 40 times as much.
 PIECE_BYTES = 3_000_000
+#: Bytes of one text searched at a time.
+SEGMENT_BYTES = 2_000_000
 SPACE, END = 32, 10
 
 
@@ -65,6 +74,22 @@ def words_of(text: str | bytes | None) -> list[bytes]:
     return CLASSES[np.frombuffer(raw, np.uint8)].tobytes().split()
 
 
+_GAP = rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]"
+_ANY_GAP = re.compile(_GAP)
+_MORE_WORDS = re.compile(rb"(?:%b+[0-9A-Za-z\x80-\xff]+){0,%d}" % (_GAP, WINDOW - 1))
+
+
+def segments(text: bytes, most: int = SEGMENT_BYTES) -> Iterator[tuple[bytes, int]]:
+    """(bytes, own words): parts that end at a word's end, each with the words after it that a window may reach."""
+    at = 0
+    while at < len(text):
+        gap = _ANY_GAP.search(text, at + most)
+        cut = gap.start() if gap else len(text)
+        end = _MORE_WORDS.match(text, cut).end()
+        yield text[at:end], len(words_of(text[at:cut]))
+        at = cut
+
+
 def windows_of(items: list[tuple[object, str | None]], size: int = WINDOW) -> dict[bytes, list[str]]:
     """Each distinct window, as bytes, with the items that hold it."""
     out: dict[bytes, set] = defaultdict(set)
@@ -150,8 +175,22 @@ class Searcher:
         self.tables = [WuManber(c) for _, c in sorted(classes.items())]
         self.owners = [[np.array([number[x] for x in windows[p]]) for p in t.patterns] for t in self.tables]
 
-    def search(self, texts: list[bytes | None]) -> list[tuple[int, np.ndarray, list[str]]]:
+    def search(self, texts: list[bytes | None], most: int = SEGMENT_BYTES) -> list[tuple[int, np.ndarray, list[str]]]:
         """Per text: number of words, places of the words hit, names of the items."""
+        short = [t if t is None or len(t) <= most else None for t in texts]
+        out = self.search_short(short)
+        for i, t in enumerate(texts):
+            if t is not None and len(t) > most:
+                n, hits, names = 0, [], set()
+                for part, own in segments(t, most):
+                    _, at, items = self.search_short([part])[0]
+                    hits.append(at + n)
+                    names.update(items)
+                    n += own
+                out[i] = (n, np.unique(np.concatenate(hits)), sorted(names))
+        return out
+
+    def search_short(self, texts: list[bytes | None]) -> list[tuple[int, np.ndarray, list[str]]]:
         buffer, bounds = normalised(texts)
         body = buffer[:-PAD]
         word_start = (body > SPACE) & (np.concatenate([[np.uint8(END)], body[:-1]]) <= SPACE)
@@ -173,13 +212,16 @@ class Searcher:
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, at_once: int):
-    """The windows of the query set, a bounded number of items at a time."""
+    """The windows of the query set, a bounded number of items and of bytes (or one item) at a time."""
     held: list[tuple] = []
+    size = 0
     for row in items.select(id_col, text_col).toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == at_once:
+        n = len(row[1] or "")
+        if held and (len(held) == at_once or size + n > BLOCK_BYTES):
             yield windows_of(held)
-            held = []
+            held, size = [], 0
+        held.append(tuple(row))
+        size += n
     if held:
         yield windows_of(held)
 
@@ -188,28 +230,26 @@ def _joined(a: list, b: list) -> list:
     return sorted({*a, *b})
 
 
-def searched(rows: DataFrame, windows: list[dict[bytes, list[str]]], last: bool) -> DataFrame:
-    """rows (text, row, and n_words, hits, items from before or not at all) with what these windows add; the last
-    search leaves the text behind."""
+def searched(rows: DataFrame, text_col: str, windows: list[dict[bytes, list[str]]]) -> DataFrame:
+    """rows (row, and n_words, hits, items from before or not at all) with what these windows add. The text crosses to
+    Python once, inside its row."""
     spark = rows.sparkSession
     blocks = [spark.sparkContext.broadcast(w) for w in windows]
     again = "hits" in rows.columns
 
     def run(batch: pa.RecordBatch):
         searchers = _searchers(blocks)
-        for piece in slices(batch, 0, PIECE_BYTES):
-            texts = piece.column(0).to_pylist()
-            hits, names = (piece.column(i).to_pylist() for i in (3, 4)) if again else ([[]] * len(texts), [[]] * len(texts))
+        for piece in slices(batch, field_of(batch.column(0), text_col), PIECE_BYTES):
+            texts = field_of(piece.column(0), text_col).to_pylist()
+            hits, names = (piece.column(i).to_pylist() for i in (2, 3)) if again else ([[]] * len(texts), [[]] * len(texts))
             for s in searchers:
                 found = s.search(texts)
                 n_words = [f[0] for f in found]
                 hits = [_joined(h, f[1].tolist()) for h, f in zip(hits, found, strict=True)]
                 names = [_joined(n, f[2]) for n, f in zip(names, found, strict=True)]
-            extra = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([piece.column(i) for i in (range(1, 2) if last else range(2))] + extra, schema.names)
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], schema.names)
 
-    kept = [T.StructField(c, rows.schema[c].dataType) for c in (["row"] if last else ["text", "row"])]
-    schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
     return rows.mapInArrow(by_batch(run), schema)
 
 
@@ -218,13 +258,16 @@ def find_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_co
 
     A pass over the texts searches for up to BLOCKS_AT_ONCE blocks of items, which bounds what driver and workers
     hold; a larger query set takes more passes, each written before the next."""
-    rows = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
+    rows, written = docs.select(F.struct("*").alias("row")), None
     held: list[dict] = []
     for windows in item_blocks(items, item_col, item_text, at_once):
         if len(held) == BLOCKS_AT_ONCE:
-            rows, held = materialise(searched(rows, held, False), "hits"), []
+            before, written = written, materialise(searched(rows, text_col, held), "hits")
+            rows, held = written, []
+            if before is not None:
+                discard(before)
         held.append(windows)
-    return searched(rows, held or [{}], True)
+    return searched(rows, text_col, held or [{}])
 
 
 _CACHE: dict[str, list[Searcher]] = {}
@@ -244,5 +287,8 @@ def items_sha256(names: list[str]) -> str:
 
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """As a filter stage: a document that holds a window of a benchmark item goes."""
+    """As a filter stage: a document that holds a window of a benchmark item goes.
+
+    Null and blank texts hold none and stay; a null doc_id is judged like any other; repeated rows go or stay together;
+    without items all stay; no rows give no rows; the columns of docs come back as they were."""
     return find_hits(docs, items).where(F.size("hits") == 0).select("row.*")

@@ -6,8 +6,9 @@ level that holds ``fanout`` runs is compacted into one run of the next level. Al
 by hash, so neither the joins nor the compaction of a bucket moves the runs over the network.
 
 Defined results: a null text is one empty line; a null doc_id is below all others; rows that repeat a doc_id count
-each as a document, and none of the rows with the largest doc_id loses the line; a line that a document repeats
-counts once, and all its copies go or stay together.
+as one document, and none of the rows with the largest doc_id loses the line; a line that a document repeats counts
+once, and all its copies go or stay together; a very long text is one piece, of whose lines only the hashes are
+shuffled; an empty table gives an empty result; the columns of docs come back inside ``row``, so no name can clash.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WS, lower_ascii, materialise, new_path, remove
+from tidemark.llm.common import WS, discard, lower_ascii, materialise, new_path, remove
 
 NO_ID = -(2**63)
 
@@ -49,11 +50,12 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.tallies: list[str] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, df: DataFrame, kind: str) -> str:
         """Rows that come hash-partitioned by h into as many partitions as buckets make one file a bucket."""
         name = f"{kind}_{uuid.uuid4().hex}"
-        path = new_path(self.spark, name)
+        path = self.paths[name] = new_path(self.spark, name)
         df.write.format("parquet").bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         return name
 
@@ -65,9 +67,8 @@ class LineRuns:
         return reduce(lambda left, run: left.join(self.spark.table(run).select("h").hint("merge"), "h", "left_anti"), self.runs(), keys)
 
     def add(self, batch: DataFrame) -> str:
-        """Take a batch (doc, hs): tally its keys, add those that are new as a run, return the new run's name."""
-        keys = batch.select("doc", F.explode("hs").alias("h"))
-        tally = keys.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last_doc"))
+        """Take a batch of distinct (doc, h): tally its keys, add those that are new as a run, return the new run's name."""
+        tally = batch.groupBy("h").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last_doc"))
         self.tallies.append(self._write(tally, "tally"))
         fresh = self.unseen(self.spark.table(self.tallies[-1]).select("h", "last_doc"))
         run = self._write(fresh, "run")
@@ -88,9 +89,13 @@ class LineRuns:
                 self.levels[k + 1].append(merged)
 
     def _drop(self, name: str) -> None:
-        path = self.spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Location'").first()["data_type"]
-        self.spark.sql(f"DROP TABLE {name}")
-        remove(self.spark, path)
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drop all tables, those of a step that failed too."""
+        for name in list(self.paths):
+            self._drop(name)
 
     def frequent(self, min_docs: int) -> DataFrame:
         """Keys of at least min_docs documents and the document that the runs keep for each."""
@@ -100,56 +105,52 @@ class LineRuns:
         return runs.join(often, "h").select("h", F.col("last_doc").alias("keeper"), "docs")
 
 
-def batches_of(docs: DataFrame, n: int) -> list[Column]:
-    """n ranges of doc, highest first: a run's holder of a line is then the largest doc that has it."""
-    low, high = docs.agg(F.min("doc"), F.max("doc")).first()
-    if low is None:
-        return [F.lit(True)]
-    low = max(low, NO_ID + 1)
-    cuts = [low + (high - low + 1) * i // n for i in range(1, n)]
-    edges = [None, *sorted({x for x in cuts if low < x <= high}), None]
-    spans = [(a, b) for a, b in zip(edges, edges[1:], strict=False)]
-    on = lambda a, b: reduce(lambda x, y: x & y, [F.col("doc") >= a] * (a is not None) + [F.col("doc") < b] * (b is not None), F.lit(True))
-    return [on(a, b) for a, b in reversed(spans)]
+def batch_of(docs: DataFrame, n: int) -> Column:
+    """The number of a doc's batch, 0 to n - 1, by quantiles of the ids: the highest ids are in the highest batch."""
+    cuts = sorted({int(x) for x in docs.approxQuantile("doc", [i / n for i in range(1, n)], 0.01)}) if n > 1 else []
+    return reduce(lambda out, c: out + (F.col("doc") >= F.lit(c)).cast("int"), cuts, F.lit(0))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs, and n_lines, n_dropped and kept_text: the text without the frequent lines that other documents keep."""
+    """row (a struct of the columns of docs), n_lines, n_dropped and kept_text: the text without the frequent lines that
+    other documents keep. The lines' hashes are taken and written once, by batch; batches are taken from the highest ids
+    down, so that a run's holder of a line is the largest document that has it."""
     spark = docs.sparkSession
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    ids = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
+    held = docs.select(doc.alias("doc"), F.explode(hashes_of(F.col(text_col), min_chars)).alias("h")).distinct()
+    keys = materialise(held.withColumn("batch", batch_of(docs.select(doc.alias("doc")), batches)), "line-keys", ["batch"])
     index = LineRuns(spark, fanout)
-    for on in batches_of(ids, batches):
-        index.add(ids.where(on).select("doc", hashes_of(F.col("text"), min_chars).alias("hs")))
-    frequent = materialise(index.frequent(min_docs), "frequent-lines")
-    for name in [*index.runs(), *index.tallies]:
-        index._drop(name)
-
-    keys = ids.select("doc", F.explode(hashes_of(F.col("text"), min_chars)).alias("h"))
-    losing = keys.join(frequent.select("h", "keeper"), "h").where(F.col("doc") != F.col("keeper"))
-    lost = losing.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h").alias("__lost"))
-    out = docs.withColumn("__key", doc).join(lost, F.col("__key") == F.col("__doc"), "left")
-    return split_lines(out, text_col, min_chars).drop("__doc", "__key", "__lost")
-
-
-def split_lines(df: DataFrame, text_col: str, min_chars: int) -> DataFrame:
-    lines = lines_of(F.col(text_col))
+    try:
+        for k in reversed(range(batches)):
+            index.add(keys.where(F.col("batch") == k).select("doc", "h"))
+        frequent = materialise(index.frequent(min_docs).select("h", "keeper"), "frequent-lines")
+    finally:
+        index.close()
+    losing = keys.select("doc", "h").join(frequent, "h").where(F.col("doc") != F.col("keeper"))
+    lost = materialise(losing.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h").alias("__lost")), "lost-lines")
+    discard(keys, frequent)
+    out = docs.select(F.struct("*").alias("row"), doc.alias("__key"), F.col(text_col).alias("__text")).join(lost, F.col("__key") == F.col("__doc"), "left")
+    return split_lines(out, min_chars)
+
+
+def split_lines(df: DataFrame, min_chars: int) -> DataFrame:
+    """(row, __text, __lost) to (row, n_lines, n_dropped, kept_text). Only texts that lose lines are hashed again."""
+    lines = lines_of(F.col("__text"))
     gone = lambda x: (F.char_length(F.btrim(x, F.lit(WS))) >= min_chars) & F.array_contains(F.col("__lost"), line_hash(x))
     kept = F.when(F.col("__lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~gone(x)))
-    return (
-        df.withColumn("n_lines", F.size(lines).cast("long"))
-        .withColumn("__kept", kept)
-        .withColumn("n_dropped", F.col("n_lines") - F.size("__kept"))
-        .withColumn("kept_text", F.array_join("__kept", "\n"))
-        .drop("__kept")
-    )
+    cut = df.select("row", F.size(lines).cast("long").alias("n_lines"), kept.alias("kept"))
+    return cut.select("row", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("kept_text"))
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """As a filter stage: each text loses its repeated lines; a document that loses all it has goes."""
-    slim = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    out = dedup_lines(slim)
-    gone = (F.col("n_dropped") > 0) & (F.btrim(F.col("kept_text"), F.lit(WS)) == "")
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return out.where(~gone).select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+    """As a filter stage: each text loses its repeated lines; a document that loses all it has goes.
+
+    Null and blank texts lose nothing and stay as they are; a null doc_id is below all others; repeated rows have equal
+    results; n_chars, where docs has it, follows the text; no rows give no rows; the columns of docs keep their names."""
+    out = dedup_lines(docs)
+    cut = F.col("n_dropped") > 0
+    new = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    left = out.where(~(cut & (F.btrim(F.col("kept_text"), F.lit(WS)) == "")))
+    return left.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])

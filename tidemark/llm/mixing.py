@@ -8,8 +8,9 @@ their order, each permuted by the digits that follow. So the cut needs sums over
 a window, then cells of the one cell in which the cut falls, then the documents of one small cell.
 
 Defined results: a null text has no tokens; documents without tokens are in every epoch and cost nothing; a null
-source is a source of its own; a source without tokens has weight 0 and one epoch; rows that repeat a doc_id are
-drawn or left together; an empty table gives an empty result.
+source is a source of its own; a source without tokens has weight 0 and one epoch; rows that repeat a doc_id, or have
+none, share a hash and are drawn or left together; a very long text counts like any other, in one piece; an empty
+table gives an empty result; the id, the source and the text alone are read, under names of the operator's own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import discard, materialise
 
 ENTROPY, REPEATS, SEED = 0.98, 4.0, 17
 #: Points in an interval per pass, passes, and the digits that the exponent is rounded to.
@@ -68,15 +69,15 @@ def exponent(sources: DataFrame, total: int, n: int, entropy: float, repeats: fl
     return round(max(t_entropy, t_repeats), DIGITS)
 
 
-def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, n_tokens, weight, copies, block) for each row of docs.
-
-    copies is how often the mixture holds the document; block is its place among the 4,096 blocks of a permutation.
-    The budget is in tokens; None is the least with which every document is held at least once."""
+def placed(id_col: str, source_col: str, seed: int) -> dict[str, Column]:
+    """A document's source key and its place in the permutation: a digest, whose first digits are the cells."""
     key = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), key.alias("key"), tokens(F.col(text_col)).alias("n_tokens"), digest.alias("h"))
-    sized = materialise(sized.withColumn("c1", F.substring("h", 1, 3)).withColumn("c2", F.substring("h", 4, 3)), "sized")
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return {"key": key, "h": h, "c1": F.substring(h, 1, 3), "c2": F.substring(h, 4, 3)}
+
+
+def weights(sized: DataFrame, entropy: float, repeats: float, budget: int | None) -> DataFrame:
+    """sized (key, n_tokens, h, c1, c2) to a row a source: (k, weight, epochs, b1, b2, b3)."""
     totals = materialise(sized.groupBy("key").agg(F.sum("n_tokens").alias("tokens")), "sources")
     total, n = totals.where("tokens > 0").agg(F.sum("tokens"), F.count(F.lit(1))).first()
     total = total or 0
@@ -92,14 +93,33 @@ def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, bud
     plan = weighed.withColumn("epochs", F.floor(quota / F.col("tokens") + F.lit(1e-9)).cast("long"))
     plan = plan.withColumn("rest", F.greatest(F.lit(0), F.floor(quota - F.col("epochs") * F.col("tokens") + F.lit(1e-6)).cast("long")))
     plan = materialise(plan.select("key", "tokens", "weight", "epochs", "rest"), "plan")
-    cuts = materialise(cut_points(sized, plan), "cuts")
-
+    cuts = cut_points(sized, plan)
     final = materialise(plan.join(cuts, "key", "left").select(F.col("key").alias("k"), "weight", "epochs", "b1", "b2", "b3"), "weights")
-    out = sized.join(final, F.col("key") == F.col("k"), "left")
-    inside = (F.col("c1") < F.col("b1")) | ((F.col("c1") == F.col("b1")) & ((F.col("c2") < F.col("b2")) | ((F.col("c2") == F.col("b2")) & F.coalesce(F.col("h") <= F.col("b3"), F.lit(False)))))
+    discard(totals, plan, cuts)
+    return final
+
+
+def copies_of(empty: Column) -> Column:
+    """How often the mixture holds a document, of the columns of placed() and weights()."""
+    in_cell = F.coalesce(F.col("h") <= F.col("b3"), F.lit(False))
+    inside = (F.col("c1") < F.col("b1")) | ((F.col("c1") == F.col("b1")) & ((F.col("c2") < F.col("b2")) | ((F.col("c2") == F.col("b2")) & in_cell)))
     copies = F.when(F.col("weight").isNull(), F.lit(1)).otherwise(F.col("epochs") + F.coalesce(inside, F.lit(False)).cast("long"))
-    free = F.when(F.col("n_tokens") == 0, F.greatest(copies, F.lit(1))).otherwise(copies)
-    return out.select("doc_id", "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), free.cast("long").alias("copies"), F.conv("c1", 16, 10).cast("int").alias("block"))
+    return F.when(empty, F.greatest(copies, F.lit(1))).otherwise(copies).cast("long")
+
+
+def sized_docs(docs: DataFrame, seed: int, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    at = placed(id_col, source_col, seed)
+    return materialise(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tokens(F.col(text_col)).alias("n_tokens"), *[c.alias(k) for k, c in at.items()]), "sized")
+
+
+def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS, budget: int | None = None, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """(doc_id, source, n_tokens, weight, copies, block) for each row of docs.
+
+    copies is how often the mixture holds the document; block is its place among the 4,096 blocks of a permutation.
+    The budget is in tokens; None is the least with which every document is held at least once."""
+    sized = sized_docs(docs, seed, id_col, source_col, text_col)
+    out = sized.join(weights(sized, entropy, repeats, budget), F.col("key") == F.col("k"), "left")
+    return out.select("doc_id", "source", "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), copies_of(F.col("n_tokens") == 0).alias("copies"), F.conv("c1", 16, 10).cast("int").alias("block"))
 
 
 def _cut(cells: DataFrame, by: list[str], cell: str, rest: str) -> DataFrame:
@@ -121,9 +141,13 @@ def cut_points(sized: DataFrame, plan: DataFrame) -> DataFrame:
     two = _cut(cells, ["key", "b1"], "c2", "rest1")
     two = materialise(two.select(F.col("key").alias("k"), "b1", F.col("c2").alias("b2"), F.col("rest1").alias("rest2")), "cut-2")
     last = sized.join(two, (F.col("key") == F.col("k")) & (F.col("c1") == F.col("b1")) & (F.col("c2") == F.col("b2")))
-    w = Window.partitionBy("key", "b1", "b2").orderBy("h")  # equal hashes share a running sum
-    fits = last.withColumn("upto", F.sum("n_tokens").over(w)).where(F.col("upto") <= F.col("rest2")).groupBy("key").agg(F.max("h").alias("b3"))
-    return two.join(fits.withColumnRenamed("key", "fk"), F.col("k") == F.col("fk"), "left").select(F.col("k").alias("key"), "b1", "b2", "b3")
+    # Rows of one hash (a repeated id, or none) are summed up first, so that the window has a row a hash.
+    each = last.groupBy("key", "b1", "b2", "h").agg(F.sum("n_tokens").alias("n_tokens"), F.min("rest2").alias("rest2"))
+    w = Window.partitionBy("key", "b1", "b2").orderBy("h")
+    fits = each.withColumn("upto", F.sum("n_tokens").over(w)).where(F.col("upto") <= F.col("rest2")).groupBy("key").agg(F.max("h").alias("b3"))
+    out = materialise(two.join(fits.withColumnRenamed("key", "fk"), F.col("k") == F.col("fk"), "left").select(F.col("k").alias("key"), "b1", "b2", "b3"), "cuts")
+    discard(one, two)
+    return out
 
 
 def draws(mixed: DataFrame, seed: int = SEED) -> DataFrame:
@@ -133,8 +157,21 @@ def draws(mixed: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """As the last stage: the columns of docs with weight and copies; documents that the mixture doesn't hold go."""
-    mixed = mix(docs).select(F.col("doc_id").alias("__id"), "weight", "copies").dropDuplicates(["__id"])
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("__doc"))
-    joined = rows.join(mixed, F.col("__doc").eqNullSafe(F.col("__id"))).where("copies > 0")
-    return joined.select("row.*", F.col("weight").alias("mix_weight"), F.col("copies").alias("mix_copies"))
+    """As the last stage: the columns of docs with mix_weight and mix_copies; documents that the mixture doesn't hold go.
+
+    Each row is weighed by its own source and place, so null and repeated ids need no join. Null and blank texts have one
+    copy at least; no rows give no rows; where docs has a column of one of the two names, ours gets an underscore more."""
+    sized = sized_docs(docs, SEED, "doc_id", "source", "text")
+    final = weights(sized, ENTROPY, REPEATS, None)
+    discard(sized)
+    empty = ~F.coalesce(F.col("row.text").rlike(r"[^ \t-\r]"), F.lit(False))
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in placed("doc_id", "source", SEED).items()])
+    held = rows.join(final, F.col("key") == F.col("k"), "left").withColumn("copies", copies_of(empty)).where("copies > 0")
+    weight, copies = (free_name(c, docs.columns) for c in ("mix_weight", "mix_copies"))
+    return held.select("row.*", F.coalesce("weight", F.lit(0.0)).alias(weight), F.col("copies").alias(copies))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

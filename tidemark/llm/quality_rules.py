@@ -1,18 +1,20 @@
 """Quality rules: a decision list learned by sequential covering (after IREP and RIPPER; Cohen, 1995).
 
-One pass over the whole texts gives counts. From the counts of a bounded sample of labelled documents, rules are
+A pass over a whole text gives its counts. From the counts of a bounded sample of labelled documents, rules are
 learned one after another: a conjunction of thresholds is grown by information gain on two thirds of the sample,
 pruned on the rest, and kept if it is precise there; what it covers is set aside. The rules, in order, become one
 Spark conditional expression over the counts, so applying them needs no model and no Python.
 
 Defined results: a null text has no words (all counts are zero) and fails the base checks; a null doc_id keeps its
-row; rows that repeat a doc_id are judged each for itself; without labels of both kinds the list is empty and only
-the base checks decide.
+row; rows that repeat a doc_id are judged each for itself, and are learned from as one, the one with the least counts;
+a doc_id with several labels has the least; without labels of both kinds the list is empty and only the base checks
+decide; of tests with equal gain the first stands, in the order of RATIOS and of thresholds, and a ratio equal to a
+threshold meets it; a very long text is one piece, and its windows of words are told apart by numbers, not copies;
+an empty table gives an empty result; the columns of docs come back inside ``row``, so no name can clash.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_batch, hash_sample, materialise
+from tidemark.llm.common import by_batch, field_of, hash_sample
 
 #: At most so many labelled documents are learned from: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -47,16 +49,26 @@ RATIOS = {
 
 
 def repeat_words(words: list[bytes], size: int = 5) -> int:
-    """Words inside a window of ``size`` words that the text has twice or more, the first included."""
-    windows = list(zip(*[words[i:] for i in range(size)], strict=False))
-    if len(windows) < 2 or len(set(windows)) == len(windows):
+    """Words inside a window of ``size`` words that the text has twice or more, the first included.
+
+    Windows become numbers by ranking pairs: equal windows have equal numbers, without hashing."""
+    n = len(words) - size + 1
+    if n < 2:
+        return 0
+    known: dict[bytes, int] = {}
+    word = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    if len(known) == len(words):
         return 0
-    seen, covered, reach = Counter(windows), 0, 0
-    for i, w in enumerate(windows):
-        if seen[w] > 1:
-            covered += i + size - max(i, reach)
-            reach = i + size
-    return covered
+    rank, have = word, 1
+    while have < size:
+        step = min(have, size - have)
+        pair = rank[:-step] * np.int64(len(words) + 1) + rank[step:]
+        rank = np.unique(pair, return_inverse=True)[1]
+        have += step
+    again = np.nonzero(np.bincount(rank)[rank] > 1)[0]
+    if not len(again):
+        return 0
+    return int(size + np.minimum(np.diff(again), size).sum())
 
 
 def counts_of(text: bytes | None) -> tuple[int, ...]:
@@ -80,14 +92,15 @@ def counts_of(text: bytes | None) -> tuple[int, ...]:
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """row (a struct of the columns of docs) and the COUNTS."""
+    """row (a struct of the columns of docs) and the COUNTS. The text crosses to Python once, inside its row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [counts_of(x.as_py()) for x in batch.column(0)]
+        texts = field_of(batch.column(0), text_col)
+        found = [counts_of(x.as_py()) for x in texts]
         cols = [pa.array([f[i] for f in found], pa.int64()) for i in range(len(COUNTS))]
-        return pa.RecordBatch.from_arrays([batch.column(1), *cols], ["row", *COUNTS])
+        return pa.RecordBatch.from_arrays([batch.column(0), *cols], ["row", *COUNTS])
 
-    ready = docs.select(F.col(text_col).cast("binary").alias("text"), F.struct("*").alias("row"))
+    ready = docs.select(F.struct("*").alias("row"))
     schema = T.StructType([ready.schema["row"], *[T.StructField(c, T.LongType()) for c in COUNTS]])
     return ready.mapInArrow(by_batch(run), schema)
 
@@ -193,13 +206,14 @@ def verdict(rules: list[Rule]) -> Column:
 def labelled_sample(labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
     """(labelled, label): at most ``most`` labelled ids, those with the smallest hash; an id that repeats has its least label."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("labelled")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
-    return hash_sample(one, ["labelled"], most, labels.count())
+    return hash_sample(one, ["labelled"], most)
 
 
-def learn_from(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id") -> list[Rule]:
-    """Learn from the counts (with their row) of a bounded labelled sample. The broadcast is bounded by the sample."""
+def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
+    """Learn from the documents of a bounded labelled sample: only theirs are counted, and the broadcast is of their ids."""
     chosen = F.broadcast(labelled_sample(labels, sample))
-    seen = counted.join(chosen, F.col(f"row.{id_col}") == F.col("labelled")).groupBy("labelled").agg(F.min(F.struct("label", *COUNTS)).alias("s"))
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id") == F.col("labelled"))
+    seen = with_counts(found).groupBy("row.labelled").agg(F.min(F.struct("row.label", *COUNTS)).alias("s"))
     got = seen.select("labelled", "s.*").select("labelled", "label", *[ratio(r).alias(r) for r in RATIOS]).toPandas().sort_values("labelled")
     return learn({r: got[r].to_numpy(float) for r in RATIOS}, got["label"].to_numpy() == 0)
 
@@ -209,12 +223,15 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """row, the COUNTS, base_failed and kept. docs need doc_id and text."""
-    counted = materialise(with_counts(docs), "counted")
-    rules = learn_from(counted, labels, sample)
-    return counted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+    """row, the COUNTS, base_failed and kept. docs need doc_id and text. Nothing is written: documents are counted as
+    they are read."""
+    rules = learn_from(docs, labels, sample)
+    return with_counts(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
 def stage(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """As a filter stage: documents that the base checks or the rules reject go."""
+    """As a filter stage: documents that the base checks or the rules reject go.
+
+    A null or blank text goes; a null doc_id is judged like any other; repeated rows go or stay together; no rows give
+    no rows; the columns of docs come back as they were."""
     return judge(docs, labels).where("kept").select("row.*")

@@ -8,7 +8,10 @@ carry-save counters update 64 distances at a time and a block is left once all o
 bucket emits a spanning forest of its links, not its pairs.
 
 Defined results: a null or blank text has fingerprint zero and is linked like any other; rows that repeat a doc_id
-are one node per distinct fingerprint; a null doc_id is below all others and its component is null.
+are one node per distinct fingerprint; a null doc_id is below all others and its component is null; a bit set in just
+half of the hashes is 0; equal fingerprints are one node, however many rows have them; a very long text is one piece,
+of which only its hashes are held; an empty table gives an empty result; the id and the text alone are read, under
+names of the operator's own, so no other column can clash.
 """
 
 from __future__ import annotations
@@ -246,19 +249,23 @@ def compared(rows: DataFrame, words: int, radius: int) -> DataFrame:
 
 def exact_links(nodes: DataFrame, radius: int = 2, bucket_limit: int = 8192) -> DataFrame:
     """nodes (node, f0): links (a, b) whose closure is that of all pairs within the radius, by the pigeonhole rule."""
-    ways, found = radius + 1, []
+    ways, found, tables = radius + 1, [], []
     open_nodes = nodes.withColumn("path", F.lit(0))
     for level in range(1, MAX_LEVELS + 1):
         rows = dealt(open_nodes, level, ways)
         sizes = materialise(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         shared = materialise(rows.join(sizes, "key"), f"buckets-{level}")
+        discard(sizes)
+        tables.append(shared)
         last = level == MAX_LEVELS
         found.append(compared(shared if last else shared.where(F.col("size") <= bucket_limit), 1, radius))
         large = shared.where(F.col("size") > bucket_limit)
         if last or not large.take(1):
             break
         open_nodes = large.select("f0", "node", "path")
-    return reduce(DataFrame.unionByName, found).distinct()
+    links = materialise(reduce(DataFrame.unionByName, found).distinct(), "links")
+    discard(*tables)
+    return links
 
 
 def band_links(nodes: DataFrame, words: int, radius: int, band_bits: int, bucket_limit: int = 8192) -> DataFrame:
@@ -271,12 +278,15 @@ def band_links(nodes: DataFrame, words: int, radius: int, band_bits: int, bucket
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     large = materialise(sizes.where(F.col("size") > bucket_limit).select(F.col("key").alias("large_key"), F.ceil(F.col("size") / (bucket_limit // 2)).cast("int").alias("tiles")), "large-buckets")
     if is_empty(large):
-        return compared(rows, words, radius).distinct()
+        discard(large)
+        return materialise(compared(rows, words, radius).distinct(), "links")
     marked = rows.join(large, rows["key"] == large["large_key"], "left")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.xxhash64("key", F.least(tile, u), F.greatest(tile, u)))
     dealt_rows = marked.withColumn("key", F.explode(F.when(F.col("tiles").isNull(), F.array("key")).otherwise(pairs)))
-    return compared(dealt_rows, words, radius).distinct()
+    links = materialise(compared(dealt_rows, words, radius).distinct(), "links")
+    discard(large)
+    return links
 
 
 def key_of(cols: list[str], i: int, band_bits: int) -> Column:
@@ -299,12 +309,15 @@ def cluster(docs: DataFrame, width: int = 3, radius: int = 2, words: int = 1, ba
     node = F.col("f0") if words == 1 else F.xxhash64(*cols)
     nodes = materialise(prints.groupBy(*cols).agg(F.min("doc").alias("rep")).withColumn("node", node), "distinct-fingerprints")
     slim = nodes.select("node", *cols)
-    linked = components(exact_links(slim, radius) if words == 1 else band_links(slim, words, radius, band_bits))
-    linked = linked.withColumnRenamed("node", "linked")
+    links = exact_links(slim, radius) if words == 1 else band_links(slim, words, radius, band_bits)
+    roots = components(links)
+    discard(links)
+    linked = roots.withColumnRenamed("node", "linked")
     label = nodes.join(linked, nodes["node"] == linked["linked"], "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     label = materialise(label, "roots")
     least = materialise(label.groupBy("root").agg(F.min("rep").alias("component")), "least")
     named = materialise(label.join(least, "root").select(F.col("node").alias("named"), "component"), "labels")
+    discard(nodes, roots, label, least)
     return prints.withColumn("node", node).join(named, F.col("node") == F.col("named"), "left").select("doc", *cols, "component")
 
 
@@ -312,10 +325,12 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-# --- the stage: pairs by their shingles ------------------------------------------------------------------------
+# --- the stage: verified near duplicates -----------------------------------------------------------------------
 
 #: Two documents are near duplicates if they share ALIKE of the shingles that either has.
 ALIKE = (4, 5)
+#: Words of the stage's fingerprints, and the radius in their bits: at the threshold a pair differs in 39 on average.
+STAGE_WORDS, STAGE_RADIUS = 4, 43
 #: Distinct texts looked at for common shingles, in how many of them a shingle is common, how many are broadcast.
 SAMPLE_TEXTS, COMMON_TEXTS, COMMON_MOST = 16_000, 4, 200_000
 
@@ -366,9 +381,11 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r["key"] for r in held.orderBy(F.desc("n"), "key").limit(COMMON_MOST).collect()], np.int64).view(np.uint64))
 
 
-def prefixes(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """(doc, mark, node, n, prefix) of rows (doc, mark, text): node is the hash of the set of shingles, n its size."""
+def sketches(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
+    """(doc, mark, node, n, prefix, f0, ...) of rows (doc, mark, text): node is the hash of the set of shingles, n its
+    size, f0 and on its fingerprint."""
     sent = rows.sparkSession.sparkContext.broadcast(common)
+    names = ["doc", "mark", "node", "n", "prefix", *fp_cols(STAGE_WORDS)]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for piece in slices(batch, 2, 4_000_000):
@@ -376,9 +393,10 @@ def prefixes(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
             parts = [prefix_of(h, sent.value) for h in sets]
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), prefix], ["doc", "mark", "node", "n", "prefix"])
+            prints = [pa.array(np.array([majority(mixed(h, k)) for h in sets], np.uint64).view(np.int64)) for k in range(STAGE_WORDS)]
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), prefix, *prints], names)
 
-    return rows.mapInArrow(by_batch(run), "doc long, mark long, node long, n int, prefix array<long>")
+    return rows.mapInArrow(by_batch(run), "doc long, mark long, node long, n int, prefix array<long>, " + ", ".join(f"{c} long" for c in fp_cols(STAGE_WORDS)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -398,65 +416,110 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(by_batch(cut), "a long, b long")
 
 
-def near_links(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Links (a, b) whose closure is that of all pairs of nodes (node, n, doc, mark, prefix) that are alike.
+class NearLinks:
+    """Links (a, b) of rows (doc, mark, text) whose closure is that of all pairs of nodes that are alike; nodes are
+    the distinct sets of shingles, from sketches().
 
-    First every node of a bucket (a shingle of prefixes) is held against the bucket's lowest; then, where that has
-    left a bucket in several components, the pairs across them are: no pair is dropped but inside a component."""
-    dealt_rows = nodes.select("node", "n", F.explode("prefix").alias("key"))
-    sizes = dealt_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("lead")).where("size > 1")
-    sizes = materialise(sizes, "shared-shingles")
-    shared = materialise(dealt_rows.join(sizes, "key"), "buckets")
-    left_out = lambda n: F.ceil(n * ALIKE[0] / ALIKE[1]) - 1
-    like_size = lambda n, m: F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]
-    star = shared.where((F.col("node") != F.col("lead.node")) & like_size(F.col("n"), F.col("lead.n"))).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
-    star = materialise(star.distinct(), "star-pairs")
+    1. The operator proper: fingerprints that agree on a band are compared by bit planes, and the spanning forest of
+       those within the radius is verified on the sets. That settles most groups, but loses pairs near the threshold.
+    2. What may be lost is between components. Alike sets share a shingle of their prefixes, so only shingles that
+       nodes of several components have in their prefixes matter: first every such node is held against the shingle's
+       lowest node, then, where components are still apart, all pairs across them are, bounded by what they can share.
 
-    def held_to(pairs: DataFrame) -> DataFrame:
+    So the bands decide the cost, not the result, and no pair is left out but inside a component of verified links."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, width: int) -> None:
+        self.rows, self.nodes, self.width = rows, nodes, width
+
+    def alike_of(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are alike; only the sets of nodes in pairs are made, of one row each."""
+        width = self.width
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for piece in slices(batch, 1, 4_000_000):
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in piece.column(1)], pa.binary())], ["node", "shingles"])
+
         ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-        own = materialise(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("doc").alias("d"), F.col("mark").alias("m")), "compared")
-        texts = rows.join(own, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text").dropDuplicates(["node"])
+        own = materialise(self.nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("doc").alias("d"), F.col("mark").alias("m")), "compared")
+        texts = self.rows.join(own, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text").dropDuplicates(["node"])
         sets = materialise(texts.mapInArrow(by_batch(run), "node long, shingles binary"), "shingle-sets")
         out = materialise(verified(pairs, sets), "links")
-        discard(sets)
+        discard(own, sets)
         return out
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batch, 1, 4_000_000):
-            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in piece.column(1)], pa.binary())], ["node", "shingles"])
-
-    links = held_to(star)
-    roots = materialise(components(links).withColumnRenamed("node", "linked"), "star-roots")
-    wide = shared.where("size > 2").select("key", "node", "n")
-    wide = wide.join(roots, F.col("node") == F.col("linked"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
-    wide = materialise(wide, "wide-buckets")
-    split = wide.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    wide = materialise(wide.join(split, "key", "left_semi"), "split-buckets")
-    other = wide.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-    across = (F.col("key") == F.col("k")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("r")) & like_size(F.col("n"), F.col("m"))
-    # Of two prefixes the one that ends first shares nothing more with the other set: so many shingles are shared at most.
-    most = F.count(F.lit(1)) + F.greatest(left_out(F.first("n")), left_out(F.first("m")))
-    enough = most * sum(ALIKE) >= (F.first("n") + F.first("m")) * ALIKE[0]
-    pairs = wide.join(other, across).groupBy(F.col("node").alias("a"), "b").agg(enough.alias("enough")).where("enough").select("a", "b")
-    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialise(pairs.join(seen, ["a", "b"], "left_anti"), "further-pairs")
-    return links if is_empty(rest) else links.unionByName(held_to(rest))
+    def by_fingerprint(self) -> DataFrame:
+        n = self.nodes.count()
+        bits = min(32, max(14, n.bit_length() - 3))  # a band's buckets hold some 8 nodes at any size
+        found = band_links(self.nodes.select("node", *fp_cols(STAGE_WORDS)), STAGE_WORDS, STAGE_RADIUS, bits)
+        out = self.alike_of(found)
+        discard(found)
+        return out
+
+    def shared_shingles(self) -> DataFrame:
+        """(key, node, n): the shingles of prefixes that several nodes have in theirs."""
+        dealt_rows = self.nodes.select("node", "n", F.explode("prefix").alias("key"))
+        often = materialise(dealt_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared-shingles")
+        out = materialise(dealt_rows.join(often, "key", "left_semi").select("key", "node", "n"), "buckets")
+        discard(often)
+        return out
+
+    def apart(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
+        """Of (key, node, n) the buckets that still hold several components, with each node's root."""
+        roots = components(links)
+        linked = roots.withColumnRenamed("node", "linked")
+        rooted = materialise(buckets.join(linked, F.col("node") == F.col("linked"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("root")), "rooted")
+        split = materialise(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), "split")
+        out = materialise(rooted.join(split, "key", "left_semi"), "split-buckets")
+        discard(roots, rooted, split)
+        return out
+
+    def links(self) -> DataFrame:
+        like_size = lambda n, m: F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]
+        left_out = lambda n: F.ceil(n * ALIKE[0] / ALIKE[1]) - 1
+        found = self.by_fingerprint()
+        buckets = self.shared_shingles()
+        open_rows = self.apart(buckets, found)
+        discard(buckets)
+        lead = materialise(open_rows.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("node", "n", "root")).alias("lead")), "leads")
+        star = open_rows.join(lead, F.col("key") == F.col("k")).where((F.col("root") != F.col("lead.root")) & like_size(F.col("n"), F.col("lead.n")))
+        star = materialise(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
+        discard(lead)
+        found = found.unionByName(self.alike_of(star))
+        still = self.apart(open_rows.drop("root"), found)
+        discard(open_rows)
+        other = still.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
+        across = (F.col("key") == F.col("k")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("r")) & like_size(F.col("n"), F.col("m"))
+        # Of two prefixes the one that ends first shares nothing more with the other set: so many shingles are shared at most.
+        most = F.count(F.lit(1)) + F.greatest(left_out(F.first("n")), left_out(F.first("m")))
+        enough = most * sum(ALIKE) >= (F.first("n") + F.first("m")) * ALIKE[0]
+        pairs = still.join(other, across).groupBy(F.col("node").alias("a"), "b").agg(enough.alias("enough")).where("enough").select("a", "b")
+        seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = materialise(pairs.join(seen, ["a", "b"], "left_anti"), "further-pairs")
+        out = found if is_empty(rest) else found.unionByName(self.alike_of(rest))
+        discard(still, star, rest)
+        return out
 
 
 def stage(docs: DataFrame, width: int = 5) -> DataFrame:
     """As a filter stage: of each component of near duplicates one row stays, of the smallest doc_id.
 
-    Near duplicates have a Jaccard similarity of ALIKE or more in their sets of five-word shingles; the join by
-    prefixes finds every such pair and each is verified. Rows are told apart by doc_id and text."""
+    Near duplicates have a Jaccard similarity of ALIKE or more in their sets of five-word shingles (A-Z lower-cased);
+    every link is verified and none is lost, see NearLinks. Rows are told apart by doc_id and text: a null doc_id is
+    below all others, of its texts and of those of a repeated doc_id each is judged, and of equal rows one stays. Null
+    and blank texts are alike; fewer than five words are one shingle; ties of doc_id go by a hash of the text; no rows
+    give no rows; the columns of docs come back as they were."""
     rows = keyed(docs)
-    prints = materialise(prefixes(rows, width, common_shingles(rows, width)), "prefixes")
+    prints = materialise(sketches(rows, width, common_shingles(rows, width)), "sketches")
     lowest = F.min(F.struct("doc", "mark")).alias("rep")
-    nodes = materialise(prints.groupBy("node").agg(lowest, F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("node", "n", "rep.doc", "rep.mark", "prefix"), "distinct-sets")
+    one_of = [F.first(c).alias(c) for c in ("n", "prefix", *fp_cols(STAGE_WORDS))]
+    nodes = materialise(prints.groupBy("node").agg(lowest, *one_of).select("node", "n", "rep.doc", "rep.mark", "prefix", *fp_cols(STAGE_WORDS)), "distinct-sets")
     discard(prints)
-    linked = components(near_links(rows, nodes, width)).withColumnRenamed("node", "linked")
+    links = NearLinks(rows, nodes, width).links()
+    roots = components(links)
+    linked = roots.withColumnRenamed("node", "linked")
     label = nodes.join(linked, F.col("node") == F.col("linked"), "left").select("doc", "mark", F.coalesce("component", "node").alias("root"))
     keep = materialise(label.groupBy("root").agg(lowest).select(F.col("rep.doc").alias("d"), F.col("rep.mark").alias("m")), "kept")
+    discard(nodes, roots)
     whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64(F.col("text").cast("binary")).alias("__mark"))
     one = whole.join(keep, (F.col("__doc") == F.col("d")) & (F.col("__mark") == F.col("m")), "left_semi").dropDuplicates(["__doc", "__mark"])
     return one.select("row.*")
