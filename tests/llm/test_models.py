@@ -1,3 +1,6 @@
+import math
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -210,11 +213,73 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
  three<br><p>Four&nbsp;five</p><form><input value=x>Send</form><aside>Side</aside><ul><li>i<li>j</ul></article><section id="comments"><p>Nice!</p></section><footer>&copy; x</footer>"""
 
 
+
+def plain_removed(pages):
+    """The style tree by plain sums over (host, html): ids of the zones and blocks that go."""
+    pages = sorted(set(pages), key=str)
+    kept = []  # per page: copy mark, styles by place, words by (place, text), nodes by place
+    for host, page in pages:
+        styles, nodes, blocks = {}, {}, {}
+        walked = H.walk(H.parse(page), host, styles, nodes)
+        roles = {n.zone: n.role for n in nodes.values()}
+        every, own = [], []
+        for b in walked:
+            for zone, text in b.by_zone().items():
+                blocks[b.place.at if zone == b.place.zone else zone, text] = len(text.split())
+                every.append(text)
+                own += [text] if roles[zone] != H.NOISE else []
+        kept.append((H.copy_mark(own or every), {at: tuple(sorted(set(x))) for at, x in styles.items()}, blocks, nodes, H.path_hash(0, host)))
+    marks, words, node, root = defaultdict(set), {}, {}, {}
+    for mark, styles, blocks, nodes, r in kept:
+        for at, style in styles.items():
+            marks[at, "style", style].add(mark)
+        for (at, text), n in blocks.items():
+            marks[at, "block", text].add(mark)
+            words[at, text] = n
+        for at, n in nodes.items():
+            node[at], root[at] = n, r
+    of = defaultdict(list)
+    for (at, kind, x), seen in marks.items():
+        of[at, kind].append((len(seen), words.get((at, x), 0)))
+    m = {at: sum(n for n, _ in of[at, "style"]) for at in node}
+    back = lambda own, ats: {at: (own[at] * m[at] + H.BACK_OFF * sum(own[o] * m[o] for o in ats if node[o].anywhere == node[at].anywhere) / sum(m[o] for o in ats if node[o].anywhere == node[at].anywhere)) / (m[at] + H.BACK_OFF) for at in ats}
+    importance, new = {}, {}
+    for at in node:
+        wide = math.log(m[at] + H.FEW_PAGES)
+        style = -sum(n / m[at] * math.log(n / m[at]) for n, _ in of[at, "style"]) / math.log(m[at]) if m[at] > 1 else 1.0
+        times = [n for n, _ in of[at, "block"] for _ in range(n)]
+        importance[at] = (style + (sum(1 - math.log(n) / wide for n in times) / len(times) if times else 1.0)) / 2
+        new[at] = sum(n * w * (1 - math.log(n) / wide) for n, w in of[at, "block"])
+    importance = back(importance, list(node))
+    zones = [at for at in node if node[at].zone == at]
+    worth = {z: sum(new[at] for at in node if node[at].zone == z) / m[z] * H.WEIGHT[node[z].role] for z in zones}
+    best = {z: max(worth[o] for o in zones if root[o] == root[z]) for z in zones}
+    standing = back({z: worth[z] / best[z] if best[z] else 1.0 for z in zones}, zones)
+    out = {z for z in zones if standing[z] < H.LEAST_STANDING[node[z].role]}
+    for (at, kind, x), seen in marks.items():
+        if kind == "block" and len(seen) > 1 and (1 - math.log(len(seen)) / math.log(m[at] + H.FEW_PAGES)) * (0.25 + 0.75 * importance[at]) < H.LEAST_NOVELTY:
+            out.add(H.block_id(at, H.text_hash(x)))
+    return out
+
+
+def alone(page, host=""):
+    return H.main_text(page, host, plain_removed([(host, page)]))
+
+
 def test_main_text():
-    assert H.main_text(PAGE) == "Title&\nOne <two> three\nFour five\ni\nj"
-    assert H.main_text(None) == "" and H.main_text("") == "" and H.main_text("plain &eacute; text") == "plain é text"
-    assert H.main_text("<article><p>cut <b") == "cut"
-    assert H.main_text("<p>a<table><tr><td>b<td>c<tr><td>d</table>e") == "a\nb c\nd\ne"
+    assert alone(PAGE) == "Title&\nOne <two> three\nFour five\ni\nj"
+    assert alone(None) == "" and alone("") == "" and alone("plain &eacute; text") == "plain é text"
+    assert alone("<article><p>cut <b") == "cut"
+    assert alone("<p>a<table><tr><td>b<td>c<tr><td>d</table>e") == "a\nb c\nd\ne"
+
+
+def test_names_weigh_but_do_not_settle():
+    assert alone("<body><nav><a>Home</a></nav><div id='search-results'><p>" + "own words of this page " * 9 + "</p></div><footer>Imprint</footer></body>").startswith("own words")
+    assert alone("<body><div class='legal-news'><p>Legal article</p></div></body>") == "Legal article"
+    assert alone("<body><form id=f><p>" + "the page is a form " * 9 + "</p><label>Name</label></form><div class=ad>Buy</div></body>").startswith("the page")
+    assert alone("<body><article><header><h1>Head</h1></header><p>" + "one two three " * 9 + "</p></article></body>").startswith("Head\none")
+    both = alone("<body><div><p>" + "lead text " * 20 + "</p></div><article>" + "body text " * 20 + "</article><div class=comments><article>" + "so nice " * 30 + "</article></div></body>")
+    assert both.startswith("lead") and "body text" in both and "nice" not in both
 
 
 def site(n=12):
@@ -225,14 +290,47 @@ def site(n=12):
 @pytest.mark.parametrize("rows_broadcast", [200_000, 0])
 def test_style_tree(spark, monkeypatch, rows_broadcast):
     monkeypatch.setattr(H, "BROADCAST_ROWS", rows_broadcast)
-    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(site(), "page_id long, url string, html string")).collect()}
+    docs = spark.createDataFrame([(*r, "h", "r") for r in site()], "page_id long, url string, html string, host string, row string")
+    got = {r.page_id: r.text for r in H.extract(docs).collect()}
     assert got[3] == "Own text 3 21" and got[None] == "Own text 0 0"
     assert got[100].startswith("Title&") and got[101] == "Alone" and got[102] == ""
+    removed = plain_removed([(H.host_of(url), page) for _, url, page in site()])
+    assert got == {i: H.main_text(page, H.host_of(url), removed) for i, url, page in site()}
+
+
+def news(seed=9):
+    """Hosts with menus, adverts without a telling name, a notice inside the article, copies, and one page alone."""
+    rng = np.random.default_rng(seed)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    rows, want = [], {}
+    copy = [text(30) for _ in range(6)]
+    for i in range(90):
+        paragraphs = copy if i % 3 == 0 else [text(30) for _ in range(int(rng.integers(2, 7)))]
+        if i % 9 == 0:
+            paragraphs = [*paragraphs[:-1], text(30)]
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        want[i] = "\n".join(paragraphs)
+        rows.append((i, f"https://news.example/{i}", f"<body><div class=x7>{text(2)} {text(1)}</div><nav><a>{text(1)}</a></nav><div class=story>{body}<p>Sign up to our letter now</p></div><div class=x9>All rights with us</div></body>"))
+    rows.append((500, "https://alone.example/", f"<body><nav><a>{text(1)}</a></nav><article><p>Only page</p></article><footer>{text(9)}</footer></body>"))
+    want[500] = "Only page"
+    return rows, want
+
+
+def test_tree_decides(spark):
+    rows, want = news()
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    removed = plain_removed([(H.host_of(url), page) for _, url, page in rows])
+    assert got == {i: H.main_text(page, H.host_of(url), removed) for i, url, page in rows}
+    assert [i for i in want if got[i] != want[i]] == []
 
 
 def test_copies_of_an_article_stay(spark):
     rows = [(i, "http://c.example/", "<body><nav>menu</nav><article><p>The same text</p></article></body>") for i in range(20)]
-    assert {r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"The same text"}
+    rows += [(100 + i, "http://d.example/", "<body><div><p>The same long text of many copies on one host</p></div></body>") for i in range(90)]
+    rows += [(300 + i, "http://d.example/", f"<body><div><p>Other words {i} that this one page has for itself {i * i}</p></div></body>") for i in range(10)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(20)} == {"The same text"} and {got[i] for i in range(100, 190)} == {"The same long text of many copies on one host"}
+    assert got[304] == "Other words 4 that this one page has for itself 16"
 
 
 def test_no_pages(spark):
