@@ -150,16 +150,21 @@ def sliced_matches(fps: np.ndarray, planes: np.ndarray, query: np.ndarray, block
     return query[live], block[live], ~over[live]
 
 
-def settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union the pairs in place: labels[i] becomes the smallest index of i's tree."""
+def settle(labels: np.ndarray, a: np.ndarray, b: np.ndarray, edges: list | None = None) -> None:
+    """Union the pairs in place: labels[i] becomes the smallest index of i's tree. edges gets the pairs that joined two
+    trees, one for each tree that was joined to another."""
     while True:
         x, y = labels[a], labels[b]
         low, high = np.minimum(x, y), np.maximum(x, y)
         apart = low != high
         if not apart.any():
             return
-        a, b = a[apart], b[apart]
-        np.minimum.at(labels, high[apart], low[apart])
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        if edges is not None:
+            order = np.lexsort((low, high))
+            first = order[np.concatenate([[True], high[order][1:] != high[order][:-1]])]  # of each tree the pair to the lowest
+            edges.append(np.stack([a[first], b[first]]))
+        np.minimum.at(labels, high, low)
         while True:
             up = labels[labels]
             if np.array_equal(up, labels):
@@ -175,13 +180,18 @@ def apart(labels: np.ndarray, query: np.ndarray, block: np.ndarray) -> np.ndarra
     return np.packbits(differ, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
-def forest(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 15) -> np.ndarray:
+def forest(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 15, tree: np.ndarray | None = None, edges: list | None = None) -> np.ndarray:
     """fps[row, word], rows sorted by group: for each row the smallest row that it is linked to inside its group.
 
     The first row of each block is compared first, so that in a group of near copies nearly all lanes are in one
-    tree, and need no comparing, by the time that the other rows come."""
+    tree, and need no comparing, by the time that the other rows come. Rows of a group that have the same tree are
+    linked from the start. edges gets the pairs within the radius that make the forest."""
     n = len(fps)
     labels = np.arange(n)
+    if tree is not None and n:
+        order = np.lexsort((labels, tree, group))
+        new = np.concatenate([[True], (tree[order][1:] != tree[order][:-1]) | (group[order][1:] != group[order][:-1])])
+        labels[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
     ends = np.searchsorted(group, group, "right")
     planes = planes_of(fps)
     begins = np.searchsorted(group, group, "left")
@@ -207,19 +217,21 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 <<
             for at in range(0, len(q), 1 << 14):
                 bits = np.unpackbits(hit[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
                 i, lane = np.nonzero(bits)
-                settle(labels, q[at + i], b[at + i] * 64 + lane)
+                settle(labels, q[at + i], b[at + i] * 64 + lane, edges)
     return labels
 
 
-def compare_sorted(batches: Iterator[pa.RecordBatch], radius: int, least: int = 1 << 13) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, node, f0, ...) sorted by key: links (a, b) of nodes, a forest for each key."""
+def compare_sorted(batches: Iterator[pa.RecordBatch], radius: int, rooted: bool = False, least: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, node, f0, ...; root if rooted) sorted by key: pairs (a, b) of nodes within the radius, a spanning
+    forest of each key's; nodes of one root need no pair."""
     held: list[np.ndarray] = []
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        fps = np.stack(cols[2:], axis=1).view(np.uint64)
-        root = forest(fps, _rank(cols[0]), radius)
-        child = np.nonzero(root != np.arange(len(root)))[0]
-        return pa.RecordBatch.from_arrays([pa.array(cols[1][child]), pa.array(cols[1][root[child]])], ["a", "b"])
+        fps = np.stack(cols[2 : len(cols) - rooted], axis=1).view(np.uint64)
+        edges: list[np.ndarray] = []
+        forest(fps, _rank(cols[0]), radius, tree=cols[-1] if rooted else None, edges=edges)
+        a, b = np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(cols[1][a]), pa.array(cols[1][b])], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -241,10 +253,11 @@ def _rank(keys: np.ndarray) -> np.ndarray:
 
 
 def compared(rows: DataFrame, words: int, radius: int) -> DataFrame:
-    """Bring the rows of a key together, sorted, and link them."""
+    """Bring the rows of a key together, sorted, and link them. Rows may have a root: see compare_sorted()."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt_rows = rows.select("key", "node", *fp_cols(words)).repartition(n, "key").sortWithinPartitions("key", *fp_cols(words))
-    return dealt_rows.mapInArrow(lambda it: compare_sorted(it, radius), "a long, b long")
+    cols, rooted = fp_cols(words), "root" in rows.columns
+    dealt_rows = rows.select("key", "node", *cols, *["root"] * rooted).repartition(n, "key").sortWithinPartitions("key", *cols)
+    return dealt_rows.mapInArrow(lambda it: compare_sorted(it, radius, rooted), "a long, b long")
 
 
 def exact_links(nodes: DataFrame, radius: int = 2, bucket_limit: int = 8192) -> DataFrame:
@@ -268,13 +281,10 @@ def exact_links(nodes: DataFrame, radius: int = 2, bucket_limit: int = 8192) ->
     return links
 
 
-def band_links(nodes: DataFrame, words: int, radius: int, band_bits: int, bucket_limit: int = 8192) -> DataFrame:
-    """nodes (node, f0, ...): links among nodes that agree on a band of bits and lie within the radius.
+def bucket_links(rows: DataFrame, words: int, radius: int, bucket_limit: int = 8192) -> DataFrame:
+    """rows (key, node, f0, ...; root or not): links among the nodes of a key that lie within the radius.
 
     A bucket over the limit is cut into tiles, and every two tiles meet in a task of their own."""
-    cols = fp_cols(words)
-    bands = words * 64 // band_bits
-    rows = nodes.select("node", *cols, F.explode(F.array(*[key_of(cols, i, band_bits) for i in range(bands)])).alias("key"))
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     large = materialise(sizes.where(F.col("size") > bucket_limit).select(F.col("key").alias("large_key"), F.ceil(F.col("size") / (bucket_limit // 2)).cast("int").alias("tiles")), "large-buckets")
     if is_empty(large):
@@ -289,6 +299,13 @@ def band_links(nodes: DataFrame, words: int, radius: int, band_bits: int, bucket
     return links
 
 
+def band_links(nodes: DataFrame, words: int, radius: int, band_bits: int, bucket_limit: int = 8192) -> DataFrame:
+    """nodes (node, f0, ...): links among nodes that agree on a band of bits and lie within the radius."""
+    cols = fp_cols(words)
+    rows = nodes.select("node", *cols, F.explode(F.array(*[key_of(cols, i, band_bits) for i in range(words * 64 // band_bits)])).alias("key"))
+    return bucket_links(rows, words, radius, bucket_limit)
+
+
 def key_of(cols: list[str], i: int, band_bits: int) -> Column:
     """Band i: bits i * band_bits and on of the fingerprint's words laid end to end."""
     word, bit = divmod(i * band_bits, 64)
@@ -329,10 +346,14 @@ def hex_of(fp: Column) -> Column:
 
 #: Two documents are near duplicates if they share ALIKE of the shingles that either has.
 ALIKE = (4, 5)
-#: Words of the stage's fingerprints, and the radius in their bits: at the threshold a pair differs in 39 on average.
-STAGE_WORDS, STAGE_RADIUS = 4, 43
-#: Distinct texts looked at for common shingles, in how many of them a shingle is common, how many are broadcast.
-SAMPLE_TEXTS, COMMON_TEXTS, COMMON_MOST = 16_000, 4, 200_000
+#: Words of the stage's fingerprints. A pair at the threshold differs in 39 of the 256 bits, give or take 6.
+STAGE_WORDS = 4
+#: Radii of the rounds. Near pairs are linked first, so that few pairs of a later forest fail.
+RADII = (30, 43, 64)
+#: Documents meet that agree on all ROWS least hashes of one of BANDS bands. A pair at the threshold does but once in
+#: 67,000 times, and lies within the last radius but once in 100,000.
+BANDS, ROWS = 28, 5
+_MIX = np.array([[xxhash.xxh64_intdigest(f"{k}:{i}") | 1 for i in range(BANDS * ROWS)] for k in range(2)], np.uint64)
 
 
 def shingle_set(text: bytes | None, width: int) -> np.ndarray:
@@ -343,15 +364,18 @@ def set_hash(h: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(h.tobytes()))
 
 
-def prefix_of(h: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of a set (sorted) one of which any near duplicate has among its own: the first in an order that
-    all sets follow, by hash but with the common ones (sorted hashes) last. A set of n shares at least ALIKE n with
-    a near duplicate, so the lowest shared one is among the first n - ALIKE n + 1 of both."""
-    first = len(h) - -(-len(h) * ALIKE[0] // ALIKE[1]) + 1
-    if len(common):
-        last = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
-        h = np.concatenate([h[~last], h[last]])
-    return h[:first]
+def band_keys(h: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
+    """A key for each band: a hash of the band's least hashes over the set."""
+    least = np.full(BANDS * ROWS, ALL)
+    for at in range(0, len(h), at_once):
+        x = (h[at : at + at_once, None] ^ _MIX[0]) * _MIX[1]
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, x.min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -366,37 +390,20 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of shingles that many texts of a sample have. Any set of them gives the same pairs; these make few."""
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batch, 0, 4_000_000):
-            sets = [shingle_set(x.as_py(), width) for x in piece.column(0)]
-            nodes = np.repeat(np.array([set_hash(h) for h in sets], np.int64), [len(h) for h in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64))], ["node", "key"])
-
-    share = max(1, rows.count() // SAMPLE_TEXTS)
-    some = rows.where(F.pmod(F.col("mark"), F.lit(share)) == 0).dropDuplicates(["mark"]).select("text")
-    held = some.mapInArrow(by_batch(run), "node long, key long").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_TEXTS)
-    return np.sort(np.array([r["key"] for r in held.orderBy(F.desc("n"), "key").limit(COMMON_MOST).collect()], np.int64).view(np.uint64))
-
-
-def sketches(rows: DataFrame, width: int, common: np.ndarray) -> DataFrame:
-    """(doc, mark, node, n, prefix, f0, ...) of rows (doc, mark, text): node is the hash of the set of shingles, n its
-    size, f0 and on its fingerprint."""
-    sent = rows.sparkSession.sparkContext.broadcast(common)
-    names = ["doc", "mark", "node", "n", "prefix", *fp_cols(STAGE_WORDS)]
+def sketches(rows: DataFrame, width: int) -> DataFrame:
+    """(doc, mark, node, keys, f0, ...) of rows (doc, mark, text): node is the hash of the set of shingles, keys are those
+    of its bands, f0 and on its fingerprint."""
+    names = ["doc", "mark", "node", "keys", *fp_cols(STAGE_WORDS)]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for piece in slices(batch, 2, 4_000_000):
             sets = [shingle_set(x.as_py(), width) for x in piece.column(2)]
-            parts = [prefix_of(h, sent.value) for h in sets]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+            keys = pa.array(np.concatenate([band_keys(h) for h in sets]).view(np.int64))
+            ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
             prints = [pa.array(np.array([majority(mixed(h, k)) for h in sets], np.uint64).view(np.int64)) for k in range(STAGE_WORDS)]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([set_hash(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), prefix, *prints], names)
+            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([set_hash(h) for h in sets], pa.int64()), pa.ListArray.from_arrays(ends, keys), *prints], names)
 
-    return rows.mapInArrow(by_batch(run), "doc long, mark long, node long, n int, prefix array<long>, " + ", ".join(f"{c} long" for c in fp_cols(STAGE_WORDS)))
+    return rows.mapInArrow(by_batch(run), "doc long, mark long, node long, keys array<long>, " + ", ".join(f"{c} long" for c in fp_cols(STAGE_WORDS)))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -416,106 +423,71 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(by_batch(cut), "a long, b long")
 
 
-class NearLinks:
-    """Links (a, b) of rows (doc, mark, text) whose closure is that of all pairs of nodes that are alike; nodes are
-    the distinct sets of shingles, from sketches().
-
-    1. The operator proper: fingerprints that agree on a band are compared by bit planes, and the spanning forest of
-       those within the radius is verified on the sets. That settles most groups, but loses pairs near the threshold.
-    2. What may be lost is between components. Alike sets share a shingle of their prefixes, so only shingles that
-       nodes of several components have in their prefixes matter: first every such node is held against the shingle's
-       lowest node, then, where components are still apart, all pairs across them are, bounded by what they can share.
+def shingle_sets(rows: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the nodes in own (node, d, m), each made from one row."""
 
-    So the bands decide the cost, not the result, and no pair is left out but inside a component of verified links."""
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batch, 1, 4_000_000):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in piece.column(1)], pa.binary())], ["node", "shingles"])
 
-    def __init__(self, rows: DataFrame, nodes: DataFrame, width: int) -> None:
-        self.rows, self.nodes, self.width = rows, nodes, width
+    texts = rows.join(own, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text").dropDuplicates(["node"])
+    return texts.mapInArrow(by_batch(run), "node long, shingles binary")
 
-    def alike_of(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike; only the sets of nodes in pairs are made, of one row each."""
-        width = self.width
 
-        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for piece in slices(batch, 1, 4_000_000):
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in piece.column(1)], pa.binary())], ["node", "shingles"])
+def apart_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets (key, node, ...) that still hold several components, with each node's root."""
+    linked = roots.withColumnRenamed("node", "linked")
+    rooted = materialise(buckets.drop("root").join(linked, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("component", "node")).drop("linked", "component"), "rooted")
+    split = materialise(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), "split")
+    out = materialise(rooted.join(split, "key", "left_semi"), "split-buckets")
+    discard(rooted, split)
+    return out
 
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
-        own = materialise(self.nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("doc").alias("d"), F.col("mark").alias("m")), "compared")
-        texts = self.rows.join(own, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text").dropDuplicates(["node"])
-        sets = materialise(texts.mapInArrow(by_batch(run), "node long, shingles binary"), "shingle-sets")
-        out = materialise(verified(pairs, sets), "links")
-        discard(own, sets)
-        return out
 
-    def by_fingerprint(self) -> DataFrame:
-        n = self.nodes.count()
-        bits = min(32, max(14, n.bit_length() - 3))  # a band's buckets hold some 8 nodes at any size
-        found = band_links(self.nodes.select("node", *fp_cols(STAGE_WORDS)), STAGE_WORDS, STAGE_RADIUS, bits)
-        out = self.alike_of(found)
+def near_roots(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, component) of the nodes (node, doc, mark, keys, f0, ...) that have near duplicates.
+
+    Nodes that share a key meet. A round compares their fingerprints by bit planes, in forests of the pairs within its
+    radius, and verifies those pairs on the whole sets; the next, with a wider radius, sees only the buckets that verified
+    links have not joined, and no pair inside a component."""
+    cols = fp_cols(STAGE_WORDS)
+    dealt_rows = nodes.select("node", *cols, F.explode("keys").alias("key"))
+    often = materialise(dealt_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared-keys")
+    buckets = materialise(dealt_rows.join(often, "key", "left_semi"), "buckets")
+    ends = buckets.select(F.col("node").alias("end")).distinct()
+    own = materialise(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("doc").alias("d"), F.col("mark").alias("m")), "compared")
+    sets = materialise(shingle_sets(rows, own, width), "shingle-sets")
+    discard(often, own)
+    links, roots = [], None
+    for radius in RADII:
+        if roots is not None:
+            before, buckets = buckets, apart_buckets(buckets, roots)
+            discard(before)
+        found = bucket_links(buckets, STAGE_WORDS, radius)
+        links.append(materialise(verified(found, sets), "verified"))
         discard(found)
-        return out
-
-    def shared_shingles(self) -> DataFrame:
-        """(key, node, n): the shingles of prefixes that several nodes have in theirs."""
-        dealt_rows = self.nodes.select("node", "n", F.explode("prefix").alias("key"))
-        often = materialise(dealt_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared-shingles")
-        out = materialise(dealt_rows.join(often, "key", "left_semi").select("key", "node", "n"), "buckets")
-        discard(often)
-        return out
-
-    def apart(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
-        """Of (key, node, n) the buckets that still hold several components, with each node's root."""
-        roots = components(links)
-        linked = roots.withColumnRenamed("node", "linked")
-        rooted = materialise(buckets.join(linked, F.col("node") == F.col("linked"), "left").select("key", "node", "n", F.coalesce("component", "node").alias("root")), "rooted")
-        split = materialise(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key"), "split")
-        out = materialise(rooted.join(split, "key", "left_semi"), "split-buckets")
-        discard(roots, rooted, split)
-        return out
-
-    def links(self) -> DataFrame:
-        like_size = lambda n, m: F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]
-        left_out = lambda n: F.ceil(n * ALIKE[0] / ALIKE[1]) - 1
-        found = self.by_fingerprint()
-        buckets = self.shared_shingles()
-        open_rows = self.apart(buckets, found)
-        discard(buckets)
-        lead = materialise(open_rows.groupBy(F.col("key").alias("k")).agg(F.min(F.struct("node", "n", "root")).alias("lead")), "leads")
-        star = open_rows.join(lead, F.col("key") == F.col("k")).where((F.col("root") != F.col("lead.root")) & like_size(F.col("n"), F.col("lead.n")))
-        star = materialise(star.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
-        discard(lead)
-        found = found.unionByName(self.alike_of(star))
-        still = self.apart(open_rows.drop("root"), found)
-        discard(open_rows)
-        other = still.select(F.col("key").alias("k"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-        across = (F.col("key") == F.col("k")) & (F.col("node") < F.col("b")) & (F.col("root") != F.col("r")) & like_size(F.col("n"), F.col("m"))
-        # Of two prefixes the one that ends first shares nothing more with the other set: so many shingles are shared at most.
-        most = F.count(F.lit(1)) + F.greatest(left_out(F.first("n")), left_out(F.first("m")))
-        enough = most * sum(ALIKE) >= (F.first("n") + F.first("m")) * ALIKE[0]
-        pairs = still.join(other, across).groupBy(F.col("node").alias("a"), "b").agg(enough.alias("enough")).where("enough").select("a", "b")
-        seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = materialise(pairs.join(seen, ["a", "b"], "left_anti"), "further-pairs")
-        out = found if is_empty(rest) else found.unionByName(self.alike_of(rest))
-        discard(still, star, rest)
-        return out
+        if roots is not None:
+            discard(roots)
+        roots = components(reduce(DataFrame.unionByName, links))
+    discard(buckets, sets, *links)
+    return roots
 
 
 def stage(docs: DataFrame, width: int = 5) -> DataFrame:
     """As a filter stage: of each component of near duplicates one row stays, of the smallest doc_id.
 
     Near duplicates have a Jaccard similarity of ALIKE or more in their sets of five-word shingles (A-Z lower-cased);
-    every link is verified and none is lost, see NearLinks. Rows are told apart by doc_id and text: a null doc_id is
-    below all others, of its texts and of those of a repeated doc_id each is judged, and of equal rows one stays. Null
-    and blank texts are alike; fewer than five words are one shingle; ties of doc_id go by a hash of the text; no rows
-    give no rows; the columns of docs come back as they were."""
+    fingerprints find them and every link is verified, see near_roots(). Rows are told apart by doc_id and text: a null
+    doc_id is below all others, of its texts and of those of a repeated doc_id each is judged, and of equal rows one
+    stays. Null and blank texts are alike; fewer than five words are one shingle; ties of doc_id go by a hash of the
+    text; no rows give no rows; the columns of docs come back as they were."""
     rows = keyed(docs)
-    prints = materialise(sketches(rows, width, common_shingles(rows, width)), "sketches")
+    prints = materialise(sketches(rows, width), "sketches")
     lowest = F.min(F.struct("doc", "mark")).alias("rep")
-    one_of = [F.first(c).alias(c) for c in ("n", "prefix", *fp_cols(STAGE_WORDS))]
-    nodes = materialise(prints.groupBy("node").agg(lowest, *one_of).select("node", "n", "rep.doc", "rep.mark", "prefix", *fp_cols(STAGE_WORDS)), "distinct-sets")
+    one_of = [F.first(c).alias(c) for c in ("keys", *fp_cols(STAGE_WORDS))]
+    nodes = materialise(prints.groupBy("node").agg(lowest, *one_of).select("node", "rep.doc", "rep.mark", "keys", *fp_cols(STAGE_WORDS)), "distinct-sets")
     discard(prints)
-    links = NearLinks(rows, nodes, width).links()
-    roots = components(links)
+    roots = near_roots(rows, nodes, width)
     linked = roots.withColumnRenamed("node", "linked")
     label = nodes.join(linked, F.col("node") == F.col("linked"), "left").select("doc", "mark", F.coalesce("component", "node").alias("root"))
     keep = materialise(label.groupBy("root").agg(lowest).select(F.col("rep.doc").alias("d"), F.col("rep.mark").alias("m")), "kept")
