@@ -180,6 +180,42 @@ def apart(labels: np.ndarray, query: np.ndarray, block: np.ndarray) -> np.ndarra
     return np.packbits(differ, axis=1, bitorder="little").view("<u8")[:, 0].astype(np.uint64)
 
 
+def trees_of(group: np.ndarray, tree: np.ndarray | None) -> np.ndarray:
+    """For each row the first row of its group that has the same tree; without trees, itself."""
+    n = len(group)
+    labels = np.arange(n)
+    if tree is not None and n:
+        order = np.lexsort((labels, tree, group))
+        new = np.concatenate([[True], (tree[order][1:] != tree[order][:-1]) | (group[order][1:] != group[order][:-1])])
+        labels[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    return labels
+
+
+def hits_of(fps: np.ndarray, planes: np.ndarray, ends: np.ndarray, rows: np.ndarray, labels: np.ndarray, radius: int, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (row, later row of its group) within the radius whose labels differ when their turn comes."""
+    first, last = (rows + 1) // 64, (ends[rows] - 1) // 64
+    todo = np.where(ends[rows] > rows + 1, last - first + 1, 0)
+    cuts, total = [0], np.cumsum(todo)
+    while cuts[-1] < len(rows):
+        done = total[cuts[-1] - 1] if cuts[-1] else 0
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, done + at_once, "right"))))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        count = todo[lo:hi]
+        query = np.repeat(rows[lo:hi], count)
+        if not len(query):
+            continue
+        block = np.repeat(first[lo:hi], count) + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
+        from_lane = np.clip(query + 1 - block * 64, 0, 63).astype(np.uint64)
+        to_lane = np.clip(ends[query] - 1 - block * 64, 0, 63).astype(np.uint64)
+        lanes = (ALL << from_lane) & (ALL >> (np.uint64(63) - to_lane)) & apart(labels, query, block)
+        some = lanes != 0
+        q, b, hit = sliced_matches(fps, planes, query[some], block[some], lanes[some], radius)
+        for at in range(0, len(q), 1 << 14):
+            bits = np.unpackbits(hit[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            i, lane = np.nonzero(bits)
+            yield q[at + i], b[at + i] * 64 + lane
+
+
 def forest(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 << 15, tree: np.ndarray | None = None, edges: list | None = None) -> np.ndarray:
     """fps[row, word], rows sorted by group: for each row the smallest row that it is linked to inside its group.
 
@@ -187,50 +223,55 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 <<
     tree, and need no comparing, by the time that the other rows come. Rows of a group that have the same tree are
     linked from the start. edges gets the pairs within the radius that make the forest."""
     n = len(fps)
-    labels = np.arange(n)
-    if tree is not None and n:
-        order = np.lexsort((labels, tree, group))
-        new = np.concatenate([[True], (tree[order][1:] != tree[order][:-1]) | (group[order][1:] != group[order][:-1])])
-        labels[order] = order[np.maximum.accumulate(np.where(new, np.arange(n), 0))]
+    labels = trees_of(group, tree)
     ends = np.searchsorted(group, group, "right")
     planes = planes_of(fps)
     begins = np.searchsorted(group, group, "left")
     leads = np.nonzero((begins == np.arange(n)) | (np.arange(n) % 64 == 0))[0]
     for rows in (leads, np.arange(n)):
-        first, last = (rows + 1) // 64, (ends[rows] - 1) // 64
-        todo = np.where(ends[rows] > rows + 1, last - first + 1, 0)
-        cuts, total = [0], np.cumsum(todo)
-        while cuts[-1] < len(rows):
-            done = total[cuts[-1] - 1] if cuts[-1] else 0
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(total, done + at_once, "right"))))
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            count = todo[lo:hi]
-            query = np.repeat(rows[lo:hi], count)
-            if not len(query):
-                continue
-            block = np.repeat(first[lo:hi], count) + np.arange(len(query)) - np.repeat(np.cumsum(count) - count, count)
-            from_lane = np.clip(query + 1 - block * 64, 0, 63).astype(np.uint64)
-            to_lane = np.clip(ends[query] - 1 - block * 64, 0, 63).astype(np.uint64)
-            lanes = (ALL << from_lane) & (ALL >> (np.uint64(63) - to_lane)) & apart(labels, query, block)
-            some = lanes != 0
-            q, b, hit = sliced_matches(fps, planes, query[some], block[some], lanes[some], radius)
-            for at in range(0, len(q), 1 << 14):
-                bits = np.unpackbits(hit[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                i, lane = np.nonzero(bits)
-                settle(labels, q[at + i], b[at + i] * 64 + lane, edges)
+        for a, b in hits_of(fps, planes, ends, rows, labels, radius, at_once):
+            settle(labels, a, b, edges)
     return labels
 
 
-def compare_sorted(batches: Iterator[pa.RecordBatch], radius: int, rooted: bool = False, least: int = 1 << 13) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, node, f0, ...; root if rooted) sorted by key: pairs (a, b) of nodes within the radius, a spanning
-    forest of each key's; nodes of one root need no pair."""
+def nearest(fps: np.ndarray, group: np.ndarray, radius: int, tree: np.ndarray, most: int | None, at_once: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs within the radius of rows of a group that are in different trees: for each row those to the ``most``
+    nearest (or all). Also the rows that have more."""
+    hits = list(hits_of(fps, planes_of(fps), np.searchsorted(group, group, "right"), np.arange(len(fps)), trees_of(group, tree), radius, at_once))
+    if not hits:
+        return np.empty((2, 0), np.int64), np.empty(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*hits, strict=True))
+    if most is None:
+        return np.stack([a, b]), np.empty(0, np.int64)
+    distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+    one, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([distance, distance])
+    order = np.lexsort((other, far, one))
+    one, other = one[order], other[order]
+    rank = np.arange(len(one)) - np.searchsorted(one, one, "left")
+    near = rank < most
+    return np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)])[:, near], axis=1), np.unique(one[~near])
+
+
+#: How a round pairs the rows of a bucket: by a forest, or each row with its nearest, or all.
+FOREST, NEAREST, EVERY = "forest", "nearest", "every"
+#: Partners of a row in a round of the nearest; rows that have more are left to a round of all.
+PARTNERS = 48
+
+
+def compare_sorted(batches: Iterator[pa.RecordBatch], radius: int, rooted: bool = False, how: str = FOREST, least: int = 1 << 13) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, node, f0, ...; root if rooted) sorted by key: pairs (a, b) of nodes within the radius. Nodes of one
+    root need no pair. A pair of a node with itself says that the node has more than its nearest."""
     held: list[np.ndarray] = []
 
     def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        fps = np.stack(cols[2 : len(cols) - rooted], axis=1).view(np.uint64)
-        edges: list[np.ndarray] = []
-        forest(fps, _rank(cols[0]), radius, tree=cols[-1] if rooted else None, edges=edges)
-        a, b = np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
+        fps, group = np.stack(cols[2 : len(cols) - rooted], axis=1).view(np.uint64), _rank(cols[0])
+        if how == FOREST:
+            edges: list[np.ndarray] = []
+            forest(fps, group, radius, tree=cols[-1] if rooted else None, edges=edges)
+            a, b = np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
+        else:
+            (a, b), more = nearest(fps, group, radius, cols[-1], PARTNERS if how == NEAREST else None)
+            a, b = np.concatenate([a, more]), np.concatenate([b, more])
         return pa.RecordBatch.from_arrays([pa.array(cols[1][a]), pa.array(cols[1][b])], ["a", "b"])
 
     for batch in batches:
@@ -252,12 +293,12 @@ def _rank(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])]) if len(keys) else keys
 
 
-def compared(rows: DataFrame, words: int, radius: int) -> DataFrame:
+def compared(rows: DataFrame, words: int, radius: int, how: str = FOREST) -> DataFrame:
     """Bring the rows of a key together, sorted, and link them. Rows may have a root: see compare_sorted()."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cols, rooted = fp_cols(words), "root" in rows.columns
     dealt_rows = rows.select("key", "node", *cols, *["root"] * rooted).repartition(n, "key").sortWithinPartitions("key", *cols)
-    return dealt_rows.mapInArrow(lambda it: compare_sorted(it, radius, rooted), "a long, b long")
+    return dealt_rows.mapInArrow(lambda it: compare_sorted(it, radius, rooted, how), "a long, b long")
 
 
 def exact_links(nodes: DataFrame, radius: int = 2, bucket_limit: int = 8192) -> DataFrame:
@@ -281,7 +322,7 @@ def exact_links(nodes: DataFrame, radius: int = 2, bucket_limit: int = 8192) ->
     return links
 
 
-def bucket_links(rows: DataFrame, words: int, radius: int, bucket_limit: int = 8192) -> DataFrame:
+def bucket_links(rows: DataFrame, words: int, radius: int, bucket_limit: int = 8192, how: str = FOREST) -> DataFrame:
     """rows (key, node, f0, ...; root or not): links among the nodes of a key that lie within the radius.
 
     A bucket over the limit is cut into tiles, and every two tiles meet in a task of their own."""
@@ -289,12 +330,12 @@ def bucket_links(rows: DataFrame, words: int, radius: int, bucket_limit: int = 8
     large = materialise(sizes.where(F.col("size") > bucket_limit).select(F.col("key").alias("large_key"), F.ceil(F.col("size") / (bucket_limit // 2)).cast("int").alias("tiles")), "large-buckets")
     if is_empty(large):
         discard(large)
-        return materialise(compared(rows, words, radius).distinct(), "links")
+        return materialise(compared(rows, words, radius, how).distinct(), "links")
     marked = rows.join(large, rows["key"] == large["large_key"], "left")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.xxhash64("key", F.least(tile, u), F.greatest(tile, u)))
     dealt_rows = marked.withColumn("key", F.explode(F.when(F.col("tiles").isNull(), F.array("key")).otherwise(pairs)))
-    links = materialise(compared(dealt_rows, words, radius).distinct(), "links")
+    links = materialise(compared(dealt_rows, words, radius, how).distinct(), "links")
     discard(large)
     return links
 
@@ -348,8 +389,10 @@ def hex_of(fp: Column) -> Column:
 ALIKE = (4, 5)
 #: Words of the stage's fingerprints. A pair at the threshold differs in 39 of the 256 bits, give or take 6.
 STAGE_WORDS = 4
-#: Radii of the rounds. Near pairs are linked first, so that few pairs of a later forest fail.
-RADII = (30, 43, 64)
+#: Rounds of comparing: radius, how, and the size over which a bucket is cut into tiles. Forests of near pairs leave few
+#: nodes apart, as few of their pairs fail; but a pair that fails can hide another, so after them all pairs count, first
+#: those to the nearest, then, where nodes have more, the rest.
+ROUNDS = ((30, FOREST, 8192), (43, FOREST, 8192), (64, NEAREST, 2048), (64, EVERY, 2048))
 #: Documents meet that agree on all ROWS least hashes of one of BANDS bands. A pair at the threshold does but once in
 #: 67,000 times, and lies within the last radius but once in 100,000.
 BANDS, ROWS = 28, 5
@@ -447,9 +490,9 @@ def apart_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def near_roots(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, component) of the nodes (node, doc, mark, keys, f0, ...) that have near duplicates.
 
-    Nodes that share a key meet. A round compares their fingerprints by bit planes, in forests of the pairs within its
-    radius, and verifies those pairs on the whole sets; the next, with a wider radius, sees only the buckets that verified
-    links have not joined, and no pair inside a component."""
+    Nodes that share a key meet. A round compares their fingerprints by bit planes within its radius, and verifies the
+    pairs on the whole sets; the next sees only the buckets that verified links have not joined, and no pair inside a
+    component. So no pair within the last radius is left out but inside a component."""
     cols = fp_cols(STAGE_WORDS)
     dealt_rows = nodes.select("node", *cols, F.explode("keys").alias("key"))
     often = materialise(dealt_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared-keys")
@@ -458,13 +501,16 @@ def near_roots(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     own = materialise(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("doc").alias("d"), F.col("mark").alias("m")), "compared")
     sets = materialise(shingle_sets(rows, own, width), "shingle-sets")
     discard(often, own)
-    links, roots = [], None
-    for radius in RADII:
+    links, roots, more = [], None, True
+    for radius, how, limit in ROUNDS:
+        if how == EVERY and not more:
+            break
         if roots is not None:
             before, buckets = buckets, apart_buckets(buckets, roots)
             discard(before)
-        found = bucket_links(buckets, STAGE_WORDS, radius)
-        links.append(materialise(verified(found, sets), "verified"))
+        found = bucket_links(buckets, STAGE_WORDS, radius, limit, how)
+        links.append(materialise(verified(found.where("a != b"), sets), "verified"))
+        more = not is_empty(found.where("a = b"))
         discard(found)
         if roots is not None:
             discard(roots)
