@@ -39,6 +39,37 @@ def test_budget(spark):
     assert [r.n for r in frame.affordable_ahead(jobs, ["n"], "c", 5.0, 30.0).orderBy("n").collect()] == [1, 2]
     mixed = spark.createDataFrame([(1, 10.0), (2, 50.0), (3, 1.0)], "n int, c double")
     assert [r.n for r in frame.affordable_ahead(mixed, ["n"], "c", 0.0, 30.0).collect()] == [1]
+    assert frame.affordable(jobs.limit(0), ["n"], "c", 0.0, 1.0).count() == 0 == frame.affordable_ahead(jobs.limit(0), ["n"], "c", 0.0, 1.0).count()
+
+
+def test_running_sum_over_many_cells(spark):
+    rows = [(f"k{i % 7}", i * 37 % 1000, i % 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a string, b int, c long").repartition(5)
+    upto, want = 0, {}
+    for a, b, c in sorted(rows):
+        upto += c
+        want[a, b] = upto
+    got = {(r.a, r.b): r.upto for r in frame.running_sum(df, ["a", "b"], "c", "upto").collect()}
+    assert got == want and len(want) == 1000
+
+
+def test_ceilings(spark):
+    jobs = spark.createDataFrame([(1,), (2,)], "n long")
+    assert [r.ceiling_usd for r in frame.ceiling(jobs).collect()] == [pytest.approx(0.02 + 0.002 * 1600)] * 2
+    assert frame.posts_ceiling(jobs).first().ceiling_usd == pytest.approx(2 * (0.02 + 0.2))
+    got = frame.recovery_ceiling(spark.createDataFrame([(3,), (5,)], "n_targets long")).first()
+    assert (got.batches, got.targets) == (2, 8) and got.ceiling_usd == pytest.approx(0.04 + 0.002 * 8 * 16) and got.modelled_usd == pytest.approx(0.04 + 0.002 * 8 * 10.4)
+
+
+def test_backfill_jobs_stop(spark):
+    held = spark.createDataFrame([("T", "a", "x", "2020-01-01"), ("T", "a", "y", "2016-01-01"), ("T", "a", "z", None)], "tier string, subreddit string, term string, earliest string")
+    assert [r.ok for r in frame.tail_checks(held).orderBy("term").collect()] == [True, False, False]
+    with pytest.raises(ValueError, match="2016-01-01"):
+        frame.backfill_jobs(held)
+    good = held.where("term = 'x'")
+    assert frame.backfill_jobs(good, expected=1).first().end == "2020-01-01"
+    with pytest.raises(ValueError, match="1 jobs, not 10"):
+        frame.backfill_jobs(good, expected=10)
 
 
 def test_summarise(spark):
@@ -70,6 +101,10 @@ def test_batches_and_manifest(spark):
     t = spark.createDataFrame([("T", "B", "q", "t3_2", "u2", "2020"), ("T", "B", "q", "t3_1", "u1", None), ("T", "a", "q", "t3_3", "u3", "2019")], "tier string, subreddit string, term string, post_id string, post_url string, probe_created_at string")
     got = coverage.batches(t, ["tier", "subreddit", "term"]).collect()
     assert [(r.subreddit, r.n_targets, r.urls) for r in got] == [("a", 1, ["u3"]), ("B", 2, ["u1", "u2"])]
+    assert [(r.first_url, r.last_url, r.too_large, r.repeated_urls) for r in got] == [("u3", "u3", False, False), ("u1", "u2", False, False)]
+    large = spark.createDataFrame([(None, f"{i:03d}", f"u{i % 100}", None) for i in range(150)], "q string, post_id string, post_url string, probe_created_at string")
+    one = coverage.batches(large, ["q"]).first()
+    assert one.n_targets == 150 and one.too_large and one.repeated_urls and one.urls is None and one.first_url == "u0" and one.last_url == "u49"
     by = ["tier", "subreddit", "term"]
     targets = coverage.present_elsewhere(t, spark.createDataFrame([("t3_3",)], "post_id string"))
     done = spark.createDataFrame([("T", "B", "q")], "tier string, subreddit string, term string")
@@ -90,6 +125,17 @@ def test_phrases(spark):
     assert got["C"].posts == 0 and got["C"].phrase_pct == 0.0
     out = phrases.interpretation(phrases.precision(arms, posts, base)).first()
     assert out.quoting == "mixed" and out.mechanism == "limit of multi-word matching"
+    titled = posts.withColumns({"file_name": F.col("parsedId"), "pos": F.lit(0)})
+    assert [(r.arm, r.place, r.title) for r in phrases.first_titles(titled, 1).orderBy("arm").collect()] == [("A", 0, "Self driving"), ("B", 0, "")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000, 2000])
+def test_holding(spark, n):
+    texts = ["one two three four five six", "two three four", "", None, "five six one", "one two three four nine six", "x " * 300 + "seven"]
+    stated = [("one two three four five", [0]), ("three four", [0, 1, 5]), ("six", [0, 4, 5]), ("two three four five six one", []), ("x x x x x seven", [6]), ("", []), ("wo three", []), (None, [])]
+    phrases_ = [(i, p) for i, (p, _) in enumerate(stated)][:n] + [(100 + i, f"nothing of {i} here") for i in range(max(0, n - len(stated)))]
+    got = phrases.holding(spark.createDataFrame([(i, (x or "").strip() if x is not None else None) for i, x in enumerate(texts)], "id int, hay string"), spark.createDataFrame(phrases_, "phrase_id int, phrase string")).collect()
+    assert sorted((r.phrase_id, r.id) for r in got) == sorted((i, j) for i, (_, held) in enumerate(stated[:n]) for j in held)
 
 
 def test_classify(spark):
@@ -105,7 +151,10 @@ def test_classify(spark):
         classify.check_labels(Swapped())
     texts = spark.createDataFrame([("I love this great car",), ("awful, not safe, I hate it",)], "clean_body string")
     assert [r.predicted_class for r in classify.classify(texts).collect()] == ["positive", "negative"]
-    assert classify.detect_language("the cat is on the mat") == "en" and classify.detect_language("") is None
+    said = spark.createDataFrame([(0, "the cat is on the mat"), (1, ""), (2, None), (3, "Über das der die"), (4, "the der")], "i int, x string")
+    assert [r[0] for r in said.orderBy("i").select(classify.language_of(F.col("x"))).collect()] == ["en", None, None, "de", None]
+    picked = classify.with_labels(said, classify.KeywordScorer(classify.STOP_WORDS), "x").orderBy("i").collect()
+    assert [r.label for r in picked] == ["en", "en", "en", "de", "en"] and picked[0].labels == ["en"] and picked[1].labels == []
 
 
 def test_series(spark):
@@ -136,3 +185,11 @@ def test_checks(spark):
     assert got == {"u": False, "n": False, "c": True, "h": True}
     with pytest.raises(ValueError, match="u: 1"):
         checks.require(checks.unique(df, "u", "k"))
+    wanted = spark.createDataFrame([(1,), (2,)], "k int")
+    assert {(r.k, r.n, r.ok) for r in checks.matches(df, wanted, ["k"]).collect()} == {(1, 2, False), (2, 0, False)}
+    with pytest.raises(ValueError, match="1: 2 rows, not 1"):
+        checks.exactly_one(df, wanted, ["k"])
+    assert checks.exactly_one(df.limit(1), wanted.where("k = 1"), ["k"]).count() == 1
+    stated = spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "k int, n int")
+    assert [r.ok for r in checks.agreeing(stated, spark.createDataFrame([(1, 2)], "k int, m int"), "a", ["k"], "n", "m").collect()] == [False]
+    assert checks.apart(wanted, stated, "p", "k").first().detail == "2" and not checks.at_least(spark, "cap", 60, 100).first().ok

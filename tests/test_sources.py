@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.funnel import Funnel, corpus, skeleton_corpus
 from tidemark.sources import fetch, sinks, tables
-from tidemark.sources.json_lists import post_ids, read_json_lists, read_json_lists_strict
+from tidemark.sources.json_lists import baseline_ids, count_comments, post_ids, read_jobs, read_json_lists, read_json_lists_strict
 
 LONG = " ".join(f"word{i}" for i in range(25))
 
@@ -60,6 +60,7 @@ def test_sinks(spark, tmp_path):
     df = corpus(read_json_lists(spark, str(tmp_path)), english)
     sinks.write_corpus(df, str(tmp_path / "corpus"))
     back = spark.read.parquet(str(tmp_path / "corpus"))
+    assert sinks.corpus_columns(df).columns == ["id", "created", "year", "subreddit", "tier", "score", "depth", "parentKind", "parsedPostId", "clean_wordcount", "body", "clean_body"]
     assert "authorName" not in back.columns and back.count() == 1
     sinks.write_corpus_csv(df, str(tmp_path / "csv"))
     assert tables.read_csv(spark, str(tmp_path / "csv")).first()["body"] == LONG + '\n"quoted", line'
@@ -89,18 +90,46 @@ def test_report_with_bom(spark, tmp_path):
 def test_replay_and_requests(spark, tmp_path):
     write(tmp_path, "job.json", [comment("1")])
     cached = tmp_path / "cache.json"
-    df = fetch.read_or_fetch(spark, str(cached), fetch.ReplayFetcher(str(tmp_path)), {"file": "job.json"})
-    assert df.count() == 1 and cached.exists()
+    df = fetch.read_or_fetch(spark, str(cached), fetch.ReplayFetcher(spark, str(tmp_path)), {"file": "job.json"})
+    assert df.count() == 1 and cached.exists() and not (tmp_path / "cache.json.part").exists()
+
+    class Other:
+        def fetch(self, job):
+            return [comment("1"), comment("2")]
+
+    assert fetch.read_or_fetch(spark, str(cached), Other(), {}).count() == 1
+    assert fetch.read_or_fetch(spark, str(cached), Other(), {}, force=True).count() == 2
+    with pytest.raises(FileExistsError):
+        tables.write_text(spark, str(cached), "[]")
     job = spark.createDataFrame([("T", "cars", '"a b"', "2016-01-01", "2016-12-31", True)], "tier string, subreddit string, term string, start string, end string, blocked boolean")
     got = json.loads(job.select(fetch.collect_request()).first()[0])
     assert got["searchTerms"] == ['"a b"'] and got["maxPostsCount"] == 3 and got["maxCommentsPerPost"] == 15
+    assert got["proxy"] == {"useApifyProxy": True, "apifyProxyGroups": ["RESIDENTIAL"]} and got["postedAfter"] == "2016-01-01" and got["includeNSFW"] is False
     assert json.loads(job.select(fetch.probe_request()).first()[0])["maxCommentsCount"] == 0
+    arm = json.loads(job.select(fetch.arm_request(60)).first()[0])
+    assert arm["maxPostsCount"] == 60 and arm["crawlCommentsPerPost"] is False and arm["searchTerms"] == ['"a b"']
+    batch = spark.createDataFrame([(["u1", "u2"],)], "urls array<string>")
+    direct = json.loads(batch.select(fetch.direct_request()).first()[0])
+    assert direct["startUrls"] == [{"url": "u1"}, {"url": "u2"}] and (direct["maxPostsCount"], direct["maxCommentsCount"]) == (2, 30)
+
+
+def test_job_files_and_baselines(spark, tmp_path):
+    write(tmp_path, "a.json", [comment("1"), {"dataType": "post", "id": "t3_p", "parsedId": "p"}, {"dataType": "post", "id": "t3_q", "parsedId": ""}])
+    write(tmp_path, "b.json", "[broken")
+    jobs = spark.createDataFrame([("A", "a.json"), ("B", "b.json"), ("C", "c.json")], "arm string, file string")
+    held = read_jobs(spark, str(tmp_path), jobs)
+    assert {(r.arm, r.id) for r in held.collect()} == {("A", "1"), ("A", "t3_p"), ("A", "t3_q")}
+    assert {(r["arm"], r["items"], r["comments"]) for r in count_comments(held, ["arm"]).collect()} == {("A", 3, 1)}
+    got = baseline_ids(spark, {"A": str(tmp_path / "a*.json"), "B": str(tmp_path / "b*.json"), "C": ""})
+    assert [tuple(r) for r in got.collect()] == [("A", "p")]
 
 
 def test_env(tmp_path, monkeypatch):
     monkeypatch.delenv("TIDE_A", raising=False)
     monkeypatch.setenv("TIDE_B", "kept")
-    (tmp_path / ".env").write_text("# c\n\nTIDE_A = 'v=1'\nTIDE_B=new\nnoline\n")
+    (tmp_path / ".env").write_text("# c\n#TIDE_C=1\n\nTIDE_A = 'v=1'\nTIDE_B=new\nnoline\n")
+    assert fetch.settings_of('a = "x y" \n b=\'q\'\nc=\nd = e = f\na=2') == {"a": "x y", "b": "q", "c": "", "d": "e = f"}
+    fetch.load_env(str(tmp_path / "no such file"))
     fetch.load_env(str(tmp_path / ".env"))
     import os
 

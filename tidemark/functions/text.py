@@ -8,10 +8,11 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# White space, quote lines, addresses and the escapes of marks.
 #: The 29 white-space code points, as the inside of a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -49,8 +50,15 @@ def clean_body(col: Column, entities: bool = True) -> Column:
 
 
 def word_count(clean: Column) -> Column:
-    """Words of a text that is already clean."""
-    return F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))
+    """Words of a text that is already clean. The text is named once, so that what makes it is computed once."""
+    return F.regexp_count(clean, F.lit("[^ ]+"))
+
+
+def with_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, computed once a row whatever uses them after: filters on them aren't pushed through the
+    generator that makes them, where a projection would be copied into the filter."""
+    made = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
+    return df.select("*", F.inline(made))
 
 
 def slug(col: Column) -> Column:

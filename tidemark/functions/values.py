@@ -30,10 +30,6 @@ def round_exact(col: Column, digits: int) -> Column:
     return f(col.cast("double"))
 
 
-def capped(col: Column, most: float) -> Column:
-    return F.least(col, F.lit(most))
-
-
 def date_text(col: Column) -> Column:
     return F.substring(col, 1, 10)
 

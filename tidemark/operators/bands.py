@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import cost
-from tidemark.plans.frame import POSTS_PER_BLOCK
-
-#: Stored comments for each collected post, as observed.
-COMMENTS_A_POST = 9.4
+from tidemark.plans.frame import COMMENTS_A_POST, POSTS_PER_BLOCK
 
 
 def in_band(report: DataFrame, lo: int, hi: int) -> DataFrame:

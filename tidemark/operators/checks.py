@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,39 @@ def referenced(df: DataFrame, name: str, key: str, other: DataFrame, other_key:
     return check(lost, name, F.count(F.lit(1)) == 0, F.count(F.lit(1)))
 
 
+def matches(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """By wanted key the number of rows that have it, and whether it is just one."""
+    found = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    out = wanted.select(*key).distinct().join(found, key, "left").withColumn("n", F.coalesce("__n", F.lit(0)))
+    return out.select(*key, "n", (F.col("n") == 1).alias("ok"))
+
+
+def exactly_one(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """The row of each wanted key; stops where a key has none or several."""
+    bad = matches(rows, wanted, key).where("NOT ok").limit(10).collect()
+    if bad:
+        raise ValueError("; ".join(f"{', '.join(str(r[c]) for c in key)}: {r['n']} rows, not 1" for r in bad))
+    return rows.join(wanted.select(*key).distinct(), key, "left_semi")
+
+
+def agreeing(stated: DataFrame, counted: DataFrame, name: str, key: list[str], stated_col: str, counted_col: str) -> DataFrame:
+    """What a report states of each key must be what its file holds; a key without a file holds nothing."""
+    both = stated.select(*key, F.col(stated_col).alias("__a")).join(counted.select(*key, F.col(counted_col).alias("__b")), key, "left")
+    differ = F.count_if(~F.coalesce("__b", F.lit(0)).eqNullSafe(F.col("__a")))
+    return check(both, name, differ == 0, differ)
+
+
+def apart(one: DataFrame, other: DataFrame, name: str, col: str) -> DataFrame:
+    """No value is in both tables, as paths to be written and paths that are read."""
+    both = one.select(col).distinct().join(other.select(col).distinct(), col, "left_semi")
+    return check(both, name, F.count(F.lit(1)) == 0, F.count(F.lit(1)))
+
+
+def at_least(spark: SparkSession, name: str, value: float, least: float) -> DataFrame:
+    """An invariant of settings, as that a collection cap isn't below the probe's."""
+    return spark.createDataFrame([(name, value >= least, f"{value} of {least}")], "check string, ok boolean, detail string")
+
+
 def report(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

@@ -27,6 +27,7 @@ _GOOD = frozenset("good great love loved lovely like liked nice best better exce
 _BAD = frozenset("bad worse worst hate hated awful terrible horrible poor sad angry fear afraid scary scared dangerous danger unsafe risk risky crash crashed kill killed die died fail failed failure broken useless stupid scam lie lies wrong problem problems terrified worry worried concern concerned privacy spying annoying disgusting moron idiot worthless pathetic".split())
 _NOT = frozenset("not no never n't cannot can't don't doesn't didn't isn't wasn't won't without hardly".split())
 _WORD = re.compile(r"[a-z']+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Scorer(Protocol):
@@ -83,6 +84,21 @@ class LabelScorer(Protocol):
         """For each text a probability of each label, in the order of labels."""
 
 
+class KeywordScorer:
+    """Shares of the words that speak for each label, one more counted for each; a label scorer that needs no model."""
+
+    def __init__(self, words: dict[str, frozenset[str]]) -> None:
+        self.labels, self.words = list(words), [frozenset(w) for w in words.values()]
+
+    def score(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            said = _LETTERS.findall((text or "").lower())
+            hits = [1 + sum(w in s for w in said) for s in self.words]
+            out.append([h / sum(hits) for h in hits])
+        return out
+
+
 def with_labels(df: DataFrame, scorer: LabelScorer, text_col: str = "clean_body", threshold: float = 0.5) -> DataFrame:
     """label_scores (label to probability), the best label, and all labels at the threshold or above. The labels are the
     scorer's own, as of a zero-shot model."""
@@ -119,26 +135,24 @@ def classify(df: DataFrame, scorer: Scorer | None = None, threshold: float = CON
     return scored.withColumn("polarity", polarity()).withColumn("predicted_class", predicted_class()).withColumn("concern_flag", concern_flag(threshold))
 
 
-_STOPS = {
+#: Common words of each language.
+STOP_WORDS = {
     "en": frozenset("the and of to in is that it was for on with as be at by this are from or an not".split()),
     "de": frozenset("der die das und ist nicht ein eine mit von zu den im für auf dem des sich es auch".split()),
     "fr": frozenset("le la les de des et un une est pour dans que qui sur pas avec au du ce il".split()),
     "es": frozenset("el la los las de que y en un una es por con no se del para lo su al".split()),
 }
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def detect_language(text: str | None) -> str | None:
-    """The language with most stop words; ties and texts without any go to none."""
-    words = _LETTERS.findall((text or "").lower())
-    hits = sorted(((sum(w in s for w in words), lang) for lang, s in _STOPS.items()), reverse=True)
-    return hits[0][1] if hits[0][0] > hits[1][0] else None
 
 
-@F.pandas_udf(T.StringType())
-def language_of(s: pd.Series) -> pd.Series:
-    """By stop words: deterministic, and not the result of any particular library."""
-    return s.map(detect_language)
+def language_of(col: Column) -> Column:
+    """The language with most stop words, by plain counts in the JVM; ties, and texts without any, go to none."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
+    listed = F.array(*[F.lit(w) for w in sorted(frozenset().union(*STOP_WORDS.values()))])
+    known = F.filter(words, lambda w: F.array_contains(listed, w))
+    share = lambda own: F.size(F.filter(known, lambda w: w.isin(*sorted(own))))
+    hits = [F.struct(share(own).alias("n"), F.lit(lang).alias("lang")) for lang, own in STOP_WORDS.items()]
+    ranked = F.sort_array(F.array(*hits), asc=False)
+    return F.when(F.element_at(ranked, 1)["n"] > F.element_at(ranked, 2)["n"], F.element_at(ranked, 1)["lang"])
 
 
 def is_english(col: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.frame import COMMENTS_PER_POST, COMMENTS_PER_RUN
@@ -52,15 +52,32 @@ def address_matches_id(url: str = "post_url", post_id: str = "post_id"):
     return F.contains(F.lower(F.col(url)), F.concat(F.lit("/comments/"), bare, F.lit("/")))
 
 
-def batches(targets: DataFrame, by: list[str]) -> DataFrame:
+#: Targets whose comments a run may store: a batch of more is too large to be sent.
+TARGETS_A_RUN = COMMENTS_PER_RUN // COMMENTS_PER_POST
+
+
+def batches(targets: DataFrame, by: list[str], most: int = TARGETS_A_RUN) -> DataFrame:
     """A batch a query: its targets by time and id, with caps of its own size; smallest batches first.
 
-    A batch is bounded by the comments that a run may store; ``too_large`` and ``repeated_urls`` say if one isn't sound."""
-    one = F.struct(F.coalesce("probe_created_at", F.lit("")).alias("made"), "post_id", "post_url")
-    out = targets.groupBy(*by).agg(F.sort_array(F.collect_list(one)).alias("targets"))
-    out = out.withColumn("urls", F.col("targets.post_url")).withColumn("n_targets", F.size("targets").cast("long"))
+    ``too_large`` and ``repeated_urls`` say if a batch isn't sound. The targets are listed of batches that a run can
+    take, and so at most ``most``; a larger one has its counts, its first and its last target."""
+    made = F.coalesce("probe_created_at", F.lit(""))
+    one = F.struct(made.alias("made"), "post_id", "post_url")
+    counts = targets.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_targets"),
+        F.countDistinct("post_url").alias("__urls"),
+        F.min(one).alias("__first"),
+        F.max(one).alias("__last"),
+    )
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(made, "post_id", "post_url"))
+    few = targets.withColumn("__n", place).where(F.col("__n") <= most).groupBy(*by).agg(F.sort_array(F.collect_list(one)).alias("targets"))
+    renamed = few.withColumnsRenamed({c: f"__{c}" for c in by})
+    out = counts.join(renamed, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])).drop(*[f"__{c}" for c in by])
+    large = F.col("n_targets") > most
+    out = out.withColumn("targets", F.when(~large, F.col("targets"))).withColumn("urls", F.col("targets.post_url"))
     out = out.withColumn("max_posts", F.col("n_targets")).withColumn("max_comments", F.col("n_targets") * COMMENTS_PER_POST)
-    out = out.withColumn("too_large", F.col("max_comments") > COMMENTS_PER_RUN).withColumn("repeated_urls", F.size(F.array_distinct("urls")) < F.size("urls"))
+    out = out.withColumn("too_large", large).withColumn("repeated_urls", F.col("__urls") < F.col("n_targets"))
+    out = out.withColumn("first_url", F.col("__first.post_url")).withColumn("last_url", F.col("__last.post_url")).drop("__urls", "__first", "__last")
     return out.orderBy("n_targets", *[F.lower(c) if c != "tier" else F.col(c) for c in by])
 
 
@@ -95,3 +112,29 @@ def pending_total(pending: DataFrame, values: DataFrame, key: list[str], value_c
     """One row: the number of pending keys and the sum of their values; a key without a value adds nothing."""
     rows = pending.select(*key).distinct().join(values.select(*key, value_col), key, "left")
     return rows.agg(F.countDistinct(F.struct(*key)).alias("pending"), F.coalesce(F.sum(value_col), F.lit(0)).alias("total"))
+
+
+def capped_threads(comments: DataFrame, by: str, order: list[str], most: int = COMMENTS_PER_POST) -> DataFrame:
+    """At most so many comments of a thread, the first in order, as a collector stores them. Each task sends at most so
+    many rows of a thread, so a thread of any length is no burden."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return comments.withColumn("__n", place).where(F.col("__n") <= most).drop("__n")
+
+
+#: The lines of a coverage report, in order, and the counts that they show.
+COVERAGE_LINES = {
+    "n_probe": "distinct ids of the probe",
+    "n_original": "distinct ids collected first",
+    "n_backfill": "distinct ids of the backfill",
+    "n_overlap": "ids of the probe that were collected first",
+    "n_recovered": "ids of the probe that the backfill added",
+    "n_represented": "ids of the probe held in all",
+    "n_unaccounted": "ids of the probe not held",
+    "n_new": "ids of the backfill not collected first",
+}
+
+
+def coverage_report(counts: DataFrame, by: list[str]) -> DataFrame:
+    """The counts of coverage() as lines: (by..., line, label, n)."""
+    lines = F.array(*[F.struct(F.lit(i).alias("line"), F.lit(label).alias("label"), F.col(c).cast("long").alias("n")) for i, (c, label) in enumerate(COVERAGE_LINES.items())])
+    return counts.select(*by, F.inline(lines))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import clean_body, strip, word_count
+from tidemark.functions.text import clean_body, strip, with_once, word_count
 from tidemark.functions.values import utc_timestamp
 
 WORD_FLOOR = 20
@@ -35,7 +35,10 @@ TIER_OF = {
 
 
 def keep_first(df: DataFrame, key: str = "id", order: tuple[str, ...] = ("file_name", "pos")) -> DataFrame:
-    """The first row of each key in the order of reading. Null keys are one key."""
+    """The first row of each key in the order of reading. Null keys are one key.
+
+    Each task sends its own first row of a key at most (the plan's WindowGroupLimit), so a key that a third of the rows
+    share is no burden. Long keys, as texts, are best given as a hash."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
@@ -50,9 +53,9 @@ def not_a_bot(name: Column, bots: list[str] | None = None) -> Column:
     return ~F.lower(F.coalesce(name, F.lit(""))).isin(bots or BOTS)
 
 
-def in_window(ts: Column, start: str = WINDOW_START, end: str = WINDOW_END) -> Column:
-    """Start included, end excluded."""
-    return (ts >= F.lit(start).cast("timestamp")) & (ts < F.lit(end).cast("timestamp"))
+def in_window(ts: Column, start: str = WINDOW_START, end: str = WINDOW_END, kind: str = "timestamp") -> Column:
+    """Start included, end excluded. kind is the type of ts, so that the bounds and not the column are cast."""
+    return (ts >= F.lit(start).cast(kind)) & (ts < F.lit(end).cast(kind))
 
 
 def tier_of(community: Column, tiers: dict[str, str] | None = None) -> Column:
@@ -95,7 +98,7 @@ def corpus(items: DataFrame, is_english: Callable[[Column], Column], funnel: Fun
     df = see(df, "after timestamp parse")
     if window:
         df = see(df.where(in_window(F.col("created"))), "after study window")
-    df = df.withColumn("clean_body", clean_body(F.col("body")))
+    df = with_once(df, clean_body=clean_body(F.col("body")))
     df = df.withColumn("clean_wordcount", word_count(F.col("clean_body"))).where(F.col("clean_wordcount") >= floor)
     df = see(df, f"after >= {floor}-word floor")
     df = see(df.where(is_english(F.col("clean_body"))), "after English filter")
@@ -109,7 +112,7 @@ def skeleton_corpus(items: DataFrame, is_english: Callable[[Column], Column], fu
     df = see(df.where("dataType = 'comment'"), "comments")
     df = see(df.where(body_present(F.col("body"))), "after body-deleted removed")
     df = see(df.where(not_a_bot(F.col("authorName"))), "after bot filter")
-    df = df.withColumn("clean_body", clean_body(F.col("body")))
+    df = with_once(df, clean_body=clean_body(F.col("body")))
     df = see(df.where(is_english(F.col("clean_body"))), "after English filter")
     df = df.withColumn("clean_wordcount", word_count(F.col("clean_body"))).where(F.col("clean_wordcount") >= floor)
     df = see(df, f"after >= {floor}-word floor")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import holds_all_tokens, holds_phrase, norm, preview
+from tidemark.functions.text import holds_all_tokens, holds_phrase, norm, preview, with_once
 
 
 def _share(top, bottom):
@@ -16,7 +16,7 @@ def precision(arms: DataFrame, posts: DataFrame, baseline: DataFrame | None = No
     """arms (arm, phrase) and posts (arm, parsedId, title, body) to a row an arm, unrounded. An arm without posts has zeros."""
     wanted = arms.select("arm", norm(F.col("phrase")).alias("phrase"))
     hay = norm(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))))
-    seen = posts.join(F.broadcast(wanted), "arm").withColumn("hay", hay)
+    seen = with_once(posts.join(wanted, "arm"), hay=hay)
     counted = seen.groupBy("arm").agg(
         F.count(F.lit(1)).alias("posts"),
         F.count_if(holds_phrase(F.col("hay"), F.col("phrase"))).alias("n_phrase"),
@@ -39,15 +39,46 @@ def precision(arms: DataFrame, posts: DataFrame, baseline: DataFrame | None = No
 
 
 def first_titles(posts: DataFrame, n: int = 8) -> DataFrame:
-    """The first titles of each arm in the order of reading, cut to 88 characters."""
-    first = posts.groupBy("arm").agg(F.slice(F.sort_array(F.collect_list(F.struct("file_name", "pos", preview(F.coalesce("title", F.lit("")), 88).alias("title")))), 1, n).alias("x"))
-    return first.select("arm", F.posexplode("x.title").alias("place", "title"))
+    """The first titles of each arm in the order of reading, cut to 88 characters. A task sends n rows of an arm at most."""
+    place = F.row_number().over(Window.partitionBy("arm").orderBy("file_name", "pos")) - 1
+    first = posts.withColumn("place", place).where(F.col("place") < n)
+    return first.select("arm", "place", preview(F.coalesce("title", F.lit("")), 88).alias("title"))
 
 
-def interpretation(result: DataFrame, control: str = "A", test: str = "B", mechanism: str = "C") -> DataFrame:
-    """One row: what the arms say about quoting, and about the mechanism if its arm was run."""
+#: Words of a run by which phrases and texts meet.
+GRAM = 4
+
+
+def holding(texts: DataFrame, phrases: DataFrame, gram: int = GRAM) -> DataFrame:
+    """texts (id, hay) and phrases (phrase_id, phrase), both normalised, to (phrase_id, id): the texts that hold a whole
+    phrase as whole words. Blank phrases are in none.
+
+    Runs of words are joined, not texts with phrases: a phrase goes by its first words, ``gram`` or as many as it has, and
+    a text by its runs of the lengths that phrases need, each once. What meets is then compared whole."""
+    word = F.split("phrase", " ")
+    size = F.least(F.size(word), F.lit(gram))
+    wanted = phrases.where(F.coalesce("phrase", F.lit("")) != "").select("phrase_id", "phrase", size.alias("size"), F.array_join(F.slice(word, 1, size), " ").alias("run"))
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # gram values at most
+    if not sizes:
+        return texts.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "id").limit(0)
+    words = F.split("hay", " ")
+
+    def runs_of(n: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
+
+    own = [runs_of(n) for n in sizes]
+    held = texts.where(F.coalesce("hay", F.lit("")) != "").select("id", F.explode(F.array_distinct(F.flatten(F.array(*own)))).alias("held"))
+    near = held.join(wanted, F.col("held") == F.col("run")).select("id", "phrase_id", "phrase")
+    hay = texts.select(F.col("id").alias("__id"), F.concat(F.lit(" "), "hay", F.lit(" ")).alias("__hay"))
+    long = near.where(F.size(word) > gram).join(hay, F.col("id") == F.col("__id")).where(F.contains("__hay", F.concat(F.lit(" "), "phrase", F.lit(" "))))
+    return long.select("phrase_id", "id").unionByName(near.where(F.size(word) <= gram).select("phrase_id", "id")).distinct()
+
+
+def interpretation(result: DataFrame, control: str = "A", test: str = "B", mechanism: str = "C", by: list[str] | None = None) -> DataFrame:
+    """One row (or one a test): what the arms say about quoting, and about the mechanism if its arm was run."""
     of = lambda arm, col: F.max(F.when(F.col("arm") == arm, F.col(col)))
-    row = result.agg(of(control, "posts").alias("a_posts"), of(control, "overlap_pct").alias("a_overlap"), of(test, "phrase_pct").alias("b_phrase"), of(mechanism, "phrase_pct").alias("c_phrase"))
+    row = result.groupBy(*by or []).agg(of(control, "posts").alias("a_posts"), of(control, "overlap_pct").alias("a_overlap"), of(test, "phrase_pct").alias("b_phrase"), of(mechanism, "phrase_pct").alias("c_phrase"))
     verdict = (
         F.when(F.col("a_posts").isNull() | F.col("b_phrase").isNull(), "incomplete")
         .when(F.col("a_posts") == 0, "quotes break the query")
@@ -56,4 +87,4 @@ def interpretation(result: DataFrame, control: str = "A", test: str = "B", mecha
         .otherwise("mixed")
     )
     loose = F.when(F.col("c_phrase").isNull(), None).when(F.col("c_phrase") >= 60, "loose fallback").otherwise("limit of multi-word matching")
-    return row.select(verdict.alias("quoting"), loose.alias("mechanism"))
+    return row.select(*by or [], verdict.alias("quoting"), loose.alias("mechanism"))

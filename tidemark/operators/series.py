@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +29,12 @@ def _keyed(series: DataFrame, by: list[str] | None) -> tuple[DataFrame, list[str
 
 
 def _pairs(series: DataFrame, by: list[str], time_col: str, value_col: str) -> DataFrame:
-    """Each value with all later ones of its series. A series has one value a period: a few hundred or thousand."""
-    w = Window.partitionBy(*by).orderBy(time_col)
-    numbered = series.select(*by, F.col(value_col).cast("double").alias("y"), F.row_number().over(w).alias("i"))
-    later = F.collect_list(F.struct("i", "y")).over(Window.partitionBy(*by).orderBy("i").rowsBetween(1, Window.unboundedFollowing))
-    return numbered.withColumn("later", later).select(*by, "i", "y", F.explode("later").alias("b")).select(*by, "i", "y", F.col("b.i").alias("j"), F.col("b.y").alias("z"))
+    """Each value with all later ones of its series: a join on the series, of which there is a value a period."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(time_col))
+    one = series.select(*by, F.col(value_col).cast("double").alias("y"), place.alias("i"))
+    other = one.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("i").alias("j"), F.col("y").alias("z"))
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return one.join(other, same & (F.col("i") < F.col("j"))).select(*by, "i", "y", "j", "z")
 
 
 def mann_kendall(series: DataFrame, time_col: str, value_col: str, by: list[str] | None = None) -> DataFrame:

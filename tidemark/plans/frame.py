@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import slug
@@ -56,7 +58,7 @@ def plan_jobs(subs: DataFrame, terms: DataFrame, saturated: DataFrame | None, bl
     """A job for each query, or one for each block of a saturated query. The window tables are single small rows' arrays."""
     frame = subs.join(terms, "tier")
     if only is not None:
-        frame = frame.join(F.broadcast(only.select("subreddit", "term").distinct()), ["subreddit", "term"], "left_semi")
+        frame = frame.join(only.select("subreddit", "term").distinct(), ["subreddit", "term"], "left_semi")
     if saturated is None:
         frame = frame.withColumn("blocked", F.lit(False))
     else:
@@ -99,20 +101,46 @@ def spent(log: DataFrame) -> DataFrame:
     return log.agg(F.coalesce(F.sum("est_usd"), F.lit(0.0)).alias("spent"))
 
 
+#: Cells that a running sum is cut into, and rows that the cuts are taken from.
+_CELLS, _CUT_ROWS = 64, 4096
+
+
+def _cell(rows: DataFrame, order: list[str]) -> Column:
+    """The number of a row's cell: cells follow the order, and hold like numbers of rows. The cuts are taken from a bounded
+    sample, those rows with the smallest hash."""
+    some = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(_CUT_ROWS)
+    held = [tuple(r) for r in some.orderBy(*order).collect()]
+    cuts = sorted({i * len(held) // _CELLS for i in range(1, _CELLS)} - {0})
+    kinds = [rows.schema[c].dataType for c in order]
+    at = F.struct(*order)
+    bounds = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(held[i], kinds, order, strict=True)]) for i in cuts]
+    return reduce(lambda n, bound: n + (at >= bound).cast("int"), bounds, F.lit(0))
+
+
+def running_sum(rows: DataFrame, order: list[str], col: str, name: str) -> DataFrame:
+    """rows with the sum of col over all rows up to each one: the sums of whole cells before its own, of which there are
+    few, and a sum inside its cell. No task has to see all rows."""
+    celled = rows.withColumn("__cell", _cell(rows, order))
+    totals = celled.groupBy(F.col("__cell").alias("__c")).agg(F.sum(col).alias("__total"))
+    earlier = F.coalesce(F.sum("__total").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = totals.select("__c", earlier.alias("__before"))  # a row a cell
+    inside = F.sum(col).over(Window.partitionBy("__cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = celled.withColumn("__inside", inside).join(F.broadcast(before), F.col("__cell") == F.col("__c"))
+    return out.withColumn(name, F.col("__before") + F.col("__inside")).drop("__cell", "__c", "__before", "__inside")
+
+
 def affordable(jobs: DataFrame, order: list[str], cost_col: str, already: float, cap: float) -> DataFrame:
-    """Jobs in order, until what is spent before one has reached the cap. The last may overshoot. A job table is small,
-    and its order is total, so one task orders it."""
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    spent_before = F.lit(already) + F.coalesce(F.sum(cost_col).over(before), F.lit(0))
-    return jobs.withColumn("spent_before", spent_before).where(F.col("spent_before") < cap)
+    """Jobs in order, until what is spent before one has reached the cap. The last may overshoot. The order is total."""
+    spent_before = F.lit(already) + F.col("__upto") - F.col(cost_col)
+    return running_sum(jobs, order, cost_col, "__upto").withColumn("spent_before", spent_before).drop("__upto").where(F.col("spent_before") < cap)
 
 
 def affordable_ahead(jobs: DataFrame, order: list[str], ceiling_col: str, already: float, cap: float) -> DataFrame:
     """Jobs in order, up to the first whose ceiling would carry the sum over the cap."""
-    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    over = (F.lit(already) + F.sum(ceiling_col).over(upto)) > cap
-    marked = jobs.withColumn("over", over)
-    return marked.withColumn("stopped", F.max("over").over(upto)).where(~F.col("stopped")).drop("over", "stopped")
+    summed = running_sum(jobs, order, ceiling_col, "__upto")
+    stop = summed.where(F.lit(already) + F.col("__upto") > cap).agg(F.min(F.struct(*order)).alias("at"))
+    kept = summed.join(F.broadcast(stop), F.col("at").isNull() | (F.struct(*order) < F.col("at")))  # stop is one row
+    return kept.drop("__upto", "at")
 
 
 def first_live(jobs: DataFrame, order: list[str], n: int = 1) -> DataFrame:
@@ -134,12 +162,40 @@ def remaining_budget(jobs: DataFrame, est_col: str, already: float, cap: float)
     return jobs.agg(F.coalesce(F.sum(est_col), F.lit(0.0)).alias("estimate")).select("estimate", (F.col("estimate") / left).alias("ratio"), (F.col("estimate") > cap - already).alias("over"))
 
 
+#: Stored comments for each collected post, as observed.
+COMMENTS_A_POST = 9.4
+
+
 def ceiling(jobs: DataFrame, posts: int = COLLECT_POSTS) -> DataFrame:
-    """With the most that each job can cost."""
+    """With the most that each job can cost: its posts, and comments up to the cap of a run."""
     most = min(COMMENTS_PER_RUN, posts * COMMENTS_PER_POST)
     return jobs.withColumn("ceiling_usd", cost(F.lit(posts + most)))
 
 
-def backfill_jobs(held: DataFrame, start: str = STUDY_START) -> DataFrame:
-    """held (tier, subreddit, term, earliest) to jobs over the tail before the earliest post that is held."""
-    return held.where(F.col("earliest") > F.lit(start)).select("tier", "subreddit", "term", F.lit(start).alias("start"), F.col("earliest").alias("end"), F.lit(False).alias("blocked"))
+def posts_ceiling(jobs: DataFrame, posts: int = PROBE_POSTS) -> DataFrame:
+    """One row: the jobs of a probe or of a phrase test, which store posts alone, and the most that they can cost."""
+    n = F.count(F.lit(1))
+    return jobs.agg(n.alias("jobs"), cost(posts * n, n).alias("ceiling_usd"))
+
+
+def recovery_ceiling(batches: DataFrame, targets_col: str = "n_targets") -> DataFrame:
+    """One row: batches, their targets, what they will cost as observed, and the most that they can cost."""
+    n, targets = F.count(F.lit(1)), F.coalesce(F.sum(targets_col), F.lit(0))
+    return batches.agg(n.alias("batches"), targets.alias("targets"), cost(targets * (1 + COMMENTS_A_POST), n).alias("modelled_usd"), cost(targets * (1 + COMMENTS_PER_POST), n).alias("ceiling_usd"))
+
+
+def tail_checks(held: DataFrame, start: str = STUDY_START) -> DataFrame:
+    """held (tier, subreddit, term, earliest) as rows of (key..., ok): the earliest post must come after the window's start."""
+    return held.select("tier", "subreddit", "term", "earliest", F.coalesce(F.col("earliest") > F.lit(start), F.lit(False)).alias("ok"))
+
+
+def backfill_jobs(held: DataFrame, start: str = STUDY_START, expected: int | None = None) -> DataFrame:
+    """held (tier, subreddit, term, earliest) to jobs over the tail before the earliest post that is held.
+
+    Stops where a query has no tail, or where there aren't as many jobs as expected: none is left out in silence."""
+    bad = tail_checks(held, start).where("NOT ok").limit(10).collect()
+    if bad:
+        raise ValueError("; ".join(f"earliest post {r['earliest']} of {r['tier']}, {r['subreddit']}, {r['term']} is not after {start}" for r in bad))
+    if expected is not None and (n := held.count()) != expected:
+        raise ValueError(f"{n} jobs, not {expected}")
+    return held.select("tier", "subreddit", "term", F.lit(start).alias("start"), F.col("earliest").alias("end"), F.lit(False).alias("blocked"))

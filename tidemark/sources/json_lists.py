@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +51,25 @@ def comments(items: DataFrame, any_case: bool = False) -> DataFrame:
     return items.where(kind == "comment")
 
 
+def read_jobs(spark: SparkSession, folder: str, jobs: DataFrame, file_col: str = "file", schema: T.StructType = RAW) -> DataFrame:
+    """The items of the jobs' own files, each with its job's columns; jobs without a readable file have none."""
+    items = read_json_lists(spark, folder, schema)
+    return jobs.join(items, jobs[file_col] == items["file_name"]).drop("file_name")
+
+
+def count_comments(items: DataFrame, by: list[str] | None = None, any_case: bool = False) -> DataFrame:
+    """By group (or over all) the number of items and of comments among them, as a log row has them."""
+    kind = F.lower("dataType") if any_case else F.col("dataType")
+    return items.groupBy(*by or []).agg(F.count(F.lit(1)).alias("items"), F.count_if(kind == "comment").alias("comments"))
+
+
+def baseline_ids(spark: SparkSession, globs: dict[str, str], schema: T.StructType = RAW) -> DataFrame:
+    """(arm, parsedId): the distinct ids of posts in the files that an arm's pattern names; an arm without one has none."""
+    held = [posts(read_json_lists(spark, glob, schema)).select(F.lit(arm).alias("arm"), "parsedId") for arm, glob in globs.items() if glob]
+    rows = reduce(DataFrame.unionByName, held, spark.createDataFrame([], "arm string, parsedId string"))
+    return rows.where(F.coalesce(F.col("parsedId"), F.lit("")) != "").distinct()
+
+
 def post_ids(items: DataFrame, id_col: str = "id") -> DataFrame:
     """Distinct ids of posts; null and empty ids left out."""
     return posts(items, any_case=True).where(F.coalesce(F.col(id_col), F.lit("")) != "").select(F.col(id_col).alias("id")).distinct()

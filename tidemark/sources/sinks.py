@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import preview
 from tidemark.schemas import BANNED_COLUMNS, CLASSIFIED_COLUMNS, CORPUS_COLUMNS, MANIFEST, SCRAPE_LOG
 from tidemark.sources.tables import check_columns, exists
 
-_CSV = {"header": True, "escape": '"'}
+#: Blanks at the ends of a value are part of it; the writer would drop them.
+_CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def assert_deidentified(df: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def write_classified(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    rows = df.withColumn("body_preview", F.substring("clean_body", 1, 80)).select(CLASSIFIED_COLUMNS)
+    rows = df.withColumn("body_preview", preview(F.col("clean_body"))).select(CLASSIFIED_COLUMNS)
     assert_deidentified(rows).write.mode(mode).options(**_CSV).csv(path)
 
 

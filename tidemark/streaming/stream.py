@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.functions.values import utc_timestamp
 from tidemark.operators.funnel import body_present, not_a_bot, tier_of
 from tidemark.schemas import RAW
 
@@ -20,9 +21,9 @@ def stream_items(spark: SparkSession, folder: str, schema: T.StructType = RAW, f
 
 
 def first_seen(items: DataFrame, lateness: str = "7 days") -> DataFrame:
-    """Comments with a time and a body, each id once within the watermark."""
-    made = F.try_to_timestamp("commentCreatedAt")
-    rows = items.where("dataType = 'comment'").withColumn("created", made).where("created IS NOT NULL")
+    """Comments with a time and a body, each id once within the watermark. A bare time or year is no date: it would come
+    out as today, and carry the watermark past good rows."""
+    rows = items.where("dataType = 'comment'").withColumn("created", utc_timestamp(F.col("commentCreatedAt"))).where("created IS NOT NULL")
     rows = rows.where(body_present(F.col("body")) & not_a_bot(F.col("authorName")))
     return rows.withWatermark("created", lateness).dropDuplicatesWithinWatermark(["id"])
 
