@@ -26,7 +26,38 @@ def test_substrings_repeated_rows(spark):
 
 
 def test_spans_are_maximal():
-    assert substring_dedup.spans_of([0, 1, 5, 40, 60], 20) == [(0, 25), (40, 80)]
+    starts = np.zeros(70, bool)
+    starts[[0, 1, 5, 40, 60]] = True
+    assert substring_dedup.spans_of(starts, 20) == [(0, 25), (40, 80)]
+
+
+def test_matches_extend_both_ways():
+    rng = np.random.default_rng(1)
+    words, other = rng.integers(0, 9**9, 100).astype(np.uint64), rng.integers(0, 9**9, 300).astype(np.uint64)
+    other[150:190] = words[30:70]
+    assert substring_dedup.along(words, other, 120, 20) == [(30, 51)]
+    other[170] = 0
+    assert substring_dedup.along(words, other, 120, 20) == [(30, 31)] and substring_dedup.along(words, other, 119, 20) == []
+    assert substring_dedup.along(words, words, 0, 20) == [(0, 81)] and substring_dedup.along(words[:19], words, 0, 20) == []
+    assert substring_dedup.along(words, words[40:], -40, 20) == [(40, 81)]
+
+
+def passages(seed=3):
+    """Texts of passages from a few, in any order, so that neighbours differ from text to text and diagonals cross."""
+    rng = np.random.default_rng(seed)
+    held = [" ".join(f"w{x}" for x in rng.integers(0, 400, n)) for n in (15, 22, 30, 60, 150, 300)]
+    rows = []
+    for i in range(60):
+        some = [held[k] for k in rng.integers(0, len(held), rng.integers(1, 6))]
+        own = [" ".join(f"o{x}" for x in rng.integers(0, 10**6, rng.integers(0, 9))) for _ in some]
+        rows.append((i, " ".join(x for pair in zip(own, some, strict=True) for x in pair), "en", "s"))
+    return [*rows, (900, "loop de loop " * 200, "en", "s"), (901, "a b c d e f g h i j k " * 60, "en", "s"), (902, "de loop loop " * 100, "en", "s")]
+
+
+def test_substrings_of_shuffled_passages(spark):
+    rows = passages()
+    got = {null(r.doc): (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(X.frame(spark, rows)).collect()}
+    assert got == X.plain_substrings(rows)
 
 
 def test_equal_windows_have_equal_anchors():
