@@ -156,18 +156,6 @@ def test_forest_radius():
             assert {i: int(got[i]) for i in own} == want
 
 
-@pytest.mark.parametrize("most", [1, 5, None])
-def test_nearest_pairs(most):
-    rng = np.random.default_rng(4)
-    fps = (rng.integers(0, 2**62, (300, 2)).astype(np.uint64) & np.uint64(0x1FF))
-    group, tree = np.sort(rng.integers(0, 3, 300)), rng.integers(0, 40, 300)
-    far = lambda i, j: sum(int(x).bit_count() for x in fps[i] ^ fps[j])
-    near = {i: sorted((far(i, j), j) for j in range(300) if group[i] == group[j] and tree[i] != tree[j] and far(i, j) <= 5) for i in range(300)}
-    pairs, more = simhash_dedup.nearest(fps, group, 5, tree, most, at_once=100)
-    assert {tuple(p) for p in pairs.T.tolist()} == {(min(i, j), max(i, j)) for i in near for _, j in near[i][:most]}
-    assert more.tolist() == [i for i in near if most is not None and len(near[i]) > most]
-
-
 def test_edges_make_the_forest():
     rng = np.random.default_rng(7)
     fps = (rng.integers(0, 2**62, 200).astype(np.uint64) & np.uint64(0xFF))[:, None]

@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     losing = keys.select("doc", "h").join(frequent, "h").where(F.col("doc") != F.col("keeper"))
     lost = materialise(losing.groupBy(F.col("doc").alias("__doc")).agg(F.collect_set("h").alias("__lost")), "lost-lines")
     discard(keys, frequent)
-    out = docs.select(F.struct("*").alias("row"), doc.alias("__key"), F.col(text_col).alias("__text")).join(lost, F.col("__key") == F.col("__doc"), "left")
+    out = docs.select(F.struct("*").alias("row"), doc.alias("__key"), F.col(text_col).alias("__text")).join(lost.hint("merge"), F.col("__key") == F.col("__doc"), "left")
     return split_lines(out, min_chars)
 
 

@@ -16,7 +16,7 @@ names of the operator's own, so no other column can clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -234,58 +234,37 @@ def forest(fps: np.ndarray, group: np.ndarray, radius: int, at_once: int = 1 <<
     return labels
 
 
-def nearest(fps: np.ndarray, group: np.ndarray, radius: int, tree: np.ndarray, most: int | None, at_once: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs within the radius of rows of a group that are in different trees: for each row those to the ``most``
-    nearest (or all). Also the rows that have more."""
-    hits = list(hits_of(fps, planes_of(fps), np.searchsorted(group, group, "right"), np.arange(len(fps)), trees_of(group, tree), radius, at_once))
-    if not hits:
-        return np.empty((2, 0), np.int64), np.empty(0, np.int64)
-    a, b = (np.concatenate(x) for x in zip(*hits, strict=True))
-    if most is None:
-        return np.stack([a, b]), np.empty(0, np.int64)
-    distance = np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
-    one, other, far = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([distance, distance])
-    order = np.lexsort((other, far, one))
-    one, other = one[order], other[order]
-    rank = np.arange(len(one)) - np.searchsorted(one, one, "left")
-    near = rank < most
-    return np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)])[:, near], axis=1), np.unique(one[~near])
-
-
-#: How a round pairs the rows of a bucket: by a forest, or each row with its nearest, or all.
-FOREST, NEAREST, EVERY = "forest", "nearest", "every"
-#: Partners of a row in a round of the nearest; rows that have more are left to a round of all.
-PARTNERS = 48
-
-
-def compare_sorted(batches: Iterator[pa.RecordBatch], radius: int, rooted: bool = False, how: str = FOREST, least: int = 1 << 13) -> Iterator[pa.RecordBatch]:
-    """Over rows (key, node, f0, ...; root if rooted) sorted by key: pairs (a, b) of nodes within the radius. Nodes of one
-    root need no pair. A pair of a node with itself says that the node has more than its nearest."""
-    held: list[np.ndarray] = []
-
-    def links(cols: list[np.ndarray]) -> pa.RecordBatch:
-        fps, group = np.stack(cols[2 : len(cols) - rooted], axis=1).view(np.uint64), _rank(cols[0])
-        if how == FOREST:
-            edges: list[np.ndarray] = []
-            forest(fps, group, radius, tree=cols[-1] if rooted else None, edges=edges)
-            a, b = np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
-        else:
-            (a, b), more = nearest(fps, group, radius, cols[-1], PARTNERS if how == NEAREST else None)
-            a, b = np.concatenate([a, more]), np.concatenate([b, more])
-        return pa.RecordBatch.from_arrays([pa.array(cols[1][a]), pa.array(cols[1][b])], ["a", "b"])
-
+def whole_keys(batches: Iterator[pa.RecordBatch], least: int = 1 << 13) -> Iterator[pa.Table]:
+    """Rows sorted by key, in tables of at least so many rows that end where a key ends."""
+    held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
-        changes = np.nonzero(held[0][1:] != held[0][:-1])[0]
+        table = pa.concat_tables([*held, pa.Table.from_batches([batch])])
+        key = table.column("key").to_numpy()
+        changes = np.nonzero(key[1:] != key[:-1])[0]
         cut = int(changes[-1]) + 1 if len(changes) else 0  # the last key may go on
+        held = [table]
         if cut >= least:
-            done, held = [h[:cut] for h in held], [h[cut:] for h in held]
-            yield links(done)
-    if held:
-        yield links(held)
+            held = [table.slice(cut)]
+            yield table.slice(0, cut).combine_chunks()
+    if held and held[0].num_rows:
+        yield held[0].combine_chunks()
+
+
+def _longs(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def compare_sorted(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, node, f0, ...; root or not) sorted by key: pairs (a, b) of nodes within the radius, a spanning forest
+    of each key's; nodes of one root need no pair."""
+    for table in whole_keys(batches):
+        node, edges = _longs(table, "node"), []
+        fps = np.stack([_longs(table, c) for c in fp_cols(words)], axis=1).view(np.uint64)
+        forest(fps, _rank(_longs(table, "key")), radius, tree=_longs(table, "root") if "root" in table.column_names else None, edges=edges)
+        a, b = np.concatenate(edges, axis=1) if edges else np.empty((2, 0), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
 def _rank(keys: np.ndarray) -> np.ndarray:
@@ -293,12 +272,14 @@ def _rank(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])]) if len(keys) else keys
 
 
-def compared(rows: DataFrame, words: int, radius: int, how: str = FOREST) -> DataFrame:
-    """Bring the rows of a key together, sorted, and link them. Rows may have a root: see compare_sorted()."""
+Comparing = Callable[[Iterator[pa.RecordBatch], int, int], Iterator[pa.RecordBatch]]
+
+
+def compared(rows: DataFrame, words: int, radius: int, compare: Comparing = compare_sorted) -> DataFrame:
+    """Bring the rows of a key together, sorted, and link them."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols, rooted = fp_cols(words), "root" in rows.columns
-    dealt_rows = rows.select("key", "node", *cols, *["root"] * rooted).repartition(n, "key").sortWithinPartitions("key", *cols)
-    return dealt_rows.mapInArrow(lambda it: compare_sorted(it, radius, rooted, how), "a long, b long")
+    dealt_rows = rows.repartition(n, "key").sortWithinPartitions("key", *fp_cols(words))
+    return dealt_rows.mapInArrow(lambda it: compare(it, words, radius), "a long, b long")
 
 
 def exact_links(nodes: DataFrame, radius: int = 2, bucket_limit: int = 8192) -> DataFrame:
@@ -322,20 +303,20 @@ def exact_links(nodes: DataFrame, radius: int = 2, bucket_limit: int = 8192) ->
     return links
 
 
-def bucket_links(rows: DataFrame, words: int, radius: int, bucket_limit: int = 8192, how: str = FOREST) -> DataFrame:
-    """rows (key, node, f0, ...; root or not): links among the nodes of a key that lie within the radius.
+def bucket_links(rows: DataFrame, words: int, radius: int, bucket_limit: int = 8192, compare: Comparing = compare_sorted) -> DataFrame:
+    """rows (key, node, f0, ...; root or not, and what else the comparing needs): links among the nodes of a key that lie within the radius.
 
     A bucket over the limit is cut into tiles, and every two tiles meet in a task of their own."""
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     large = materialise(sizes.where(F.col("size") > bucket_limit).select(F.col("key").alias("large_key"), F.ceil(F.col("size") / (bucket_limit // 2)).cast("int").alias("tiles")), "large-buckets")
     if is_empty(large):
         discard(large)
-        return materialise(compared(rows, words, radius, how).distinct(), "links")
+        return materialise(compared(rows, words, radius, compare).distinct(), "links")
     marked = rows.join(large, rows["key"] == large["large_key"], "left")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda u: F.xxhash64("key", F.least(tile, u), F.greatest(tile, u)))
-    dealt_rows = marked.withColumn("key", F.explode(F.when(F.col("tiles").isNull(), F.array("key")).otherwise(pairs)))
-    links = materialise(compared(dealt_rows, words, radius, how).distinct(), "links")
+    dealt_rows = marked.withColumn("key", F.explode(F.when(F.col("tiles").isNull(), F.array("key")).otherwise(pairs))).drop("large_key", "tiles")
+    links = materialise(compared(dealt_rows, words, radius, compare).distinct(), "links")
     discard(large)
     return links
 
@@ -389,10 +370,9 @@ def hex_of(fp: Column) -> Column:
 ALIKE = (4, 5)
 #: Words of the stage's fingerprints. A pair at the threshold differs in 39 of the 256 bits, give or take 6.
 STAGE_WORDS = 4
-#: Rounds of comparing: radius, how, and the size over which a bucket is cut into tiles. Forests of near pairs leave few
-#: nodes apart, as few of their pairs fail; but a pair that fails can hide another, so after them all pairs count, first
-#: those to the nearest, then, where nodes have more, the rest.
-ROUNDS = ((30, FOREST, 8192), (43, FOREST, 8192), (64, NEAREST, 2048), (64, EVERY, 2048))
+#: Radii of the rounds by forests, of near pairs, few of which fail when they are verified; and of the last round, which
+#: verifies every pair as it meets, so that none that fails hides another.
+FOREST_RADII, LAST_RADIUS = (30, 43), 64
 #: Documents meet that agree on all ROWS least hashes of one of BANDS bands. A pair at the threshold does but once in
 #: 67,000 times, and lies within the last radius but once in 100,000.
 BANDS, ROWS = 28, 5
@@ -473,10 +453,32 @@ def shingle_sets(rows: DataFrame, own: DataFrame, width: int) -> DataFrame:
         for piece in slices(batch, 1, 4_000_000):
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([shingle_set(x.as_py(), width).tobytes() for x in piece.column(1)], pa.binary())], ["node", "shingles"])
 
-    texts = rows.join(own, (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text").dropDuplicates(["node"])
+    texts = rows.join(own.hint("merge"), (F.col("doc") == F.col("d")) & (F.col("mark") == F.col("m"))).select("node", "text").dropDuplicates(["node"])
     return texts.mapInArrow(by_batch(run), "node long, shingles binary")
 
 
+def verify_sorted(batches: Iterator[pa.RecordBatch], words: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Over rows (key, bucket, node, root, f0, ..., shingles) sorted by key: links of nodes whose sets are alike, a spanning
+    forest of those within the radius that are in different trees. A pair that meets in several buckets is verified in that of
+    the first band that it shares."""
+    for table in whole_keys(batches, 1 << 11):
+        node, key, bucket = _longs(table, "node"), _longs(table, "key"), _longs(table, "bucket")
+        fps = np.stack([_longs(table, c) for c in fp_cols(words)], axis=1).view(np.uint64)
+        sets = [np.frombuffer(x.as_buffer() or b"", np.uint64) for x in table.column("shingles")]
+        keys = np.stack([band_keys(h) for h in sets]).view(np.int64)
+        own = (keys == bucket[:, None]).argmax(axis=1)
+        group = _rank(key)
+        labels = trees_of(group, _longs(table, "root"))
+        out: list[tuple[int, int]] = []
+        for a, b in hits_of(fps, planes_of(fps), np.searchsorted(group, group, "right"), np.arange(len(fps)), labels, radius, 1 << 13):
+            here = (keys[a] == keys[b]).argmax(axis=1) == own[a]
+            for i, j in zip(a[here].tolist(), b[here].tolist(), strict=True):
+                if labels[i] != labels[j] and alike(sets[i], sets[j]):
+                    settle(labels, np.array([i]), np.array([j]))
+                    out.append((int(node[i]), int(node[j])))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else ([], []))], ["a", "b"])
+
+
 def apart_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of buckets (key, node, ...) that still hold several components, with each node's root."""
     linked = roots.withColumnRenamed("node", "linked")
@@ -490,9 +492,10 @@ def apart_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
 def near_roots(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, component) of the nodes (node, doc, mark, keys, f0, ...) that have near duplicates.
 
-    Nodes that share a key meet. A round compares their fingerprints by bit planes within its radius, and verifies the
-    pairs on the whole sets; the next sees only the buckets that verified links have not joined, and no pair inside a
-    component. So no pair within the last radius is left out but inside a component."""
+    Nodes that share a key meet. A round compares their fingerprints by bit planes, and verifies the pairs of a forest on the
+    whole sets; the next sees only the buckets that verified links have not joined, and no pair inside a component. The
+    last round has the sets at hand and verifies all pairs within its radius. So no pair within it is left out but
+    inside a component, and no round emits more than a forest."""
     cols = fp_cols(STAGE_WORDS)
     dealt_rows = nodes.select("node", *cols, F.explode("keys").alias("key"))
     often = materialise(dealt_rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key"), "shared-keys")
@@ -501,24 +504,29 @@ def near_roots(rows: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     own = materialise(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select("node", F.col("doc").alias("d"), F.col("mark").alias("m")), "compared")
     sets = materialise(shingle_sets(rows, own, width), "shingle-sets")
     discard(often, own)
-    links, roots, more = [], None, True
-    for radius, how, limit in ROUNDS:
-        if how == EVERY and not more:
-            break
+    links, roots = [], None
+    for radius in FOREST_RADII:
         if roots is not None:
-            before, buckets = buckets, apart_buckets(buckets, roots)
-            discard(before)
-        found = bucket_links(buckets, STAGE_WORDS, radius, limit, how)
-        links.append(materialise(verified(found.where("a != b"), sets), "verified"))
-        more = not is_empty(found.where("a = b"))
+            buckets = narrowed(buckets, roots)
+        found = bucket_links(buckets, STAGE_WORDS, radius)
+        links.append(materialise(verified(found, sets), "verified"))
         discard(found)
-        if roots is not None:
-            discard(roots)
         roots = components(reduce(DataFrame.unionByName, links))
+    buckets = narrowed(buckets, roots)
+    held = buckets.withColumn("bucket", F.col("key")).join(sets.withColumnRenamed("node", "of"), F.col("node") == F.col("of")).drop("of")
+    links.append(bucket_links(held, STAGE_WORDS, LAST_RADIUS, 2048, verify_sorted))
+    roots = components(reduce(DataFrame.unionByName, links))
     discard(buckets, sets, *links)
     return roots
 
 
+def narrowed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """apart_buckets(), and what it was made of goes."""
+    out = apart_buckets(buckets, roots)
+    discard(buckets, roots)
+    return out
+
+
 def stage(docs: DataFrame, width: int = 5) -> DataFrame:
     """As a filter stage: of each component of near duplicates one row stays, of the smallest doc_id.
 
@@ -539,5 +547,5 @@ def stage(docs: DataFrame, width: int = 5) -> DataFrame:
     keep = materialise(label.groupBy("root").agg(lowest).select(F.col("rep.doc").alias("d"), F.col("rep.mark").alias("m")), "kept")
     discard(nodes, roots)
     whole = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"), F.xxhash64(F.col("text").cast("binary")).alias("__mark"))
-    one = whole.join(keep, (F.col("__doc") == F.col("d")) & (F.col("__mark") == F.col("m")), "left_semi").dropDuplicates(["__doc", "__mark"])
+    one = whole.join(keep.hint("merge"), (F.col("__doc") == F.col("d")) & (F.col("__mark") == F.col("m")), "left_semi").dropDuplicates(["__doc", "__mark"])
     return one.select("row.*")
