@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -86,6 +87,49 @@ def test_neighbours_without_labels(spark):
     assert quality_knn.score(X.frame(spark, []), spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 0
 
 
+def test_ties_go_to_the_first():
+    base, z = np.tile(np.eye(2, dtype=np.float32)[0], (6, 1)), np.eye(2, dtype=np.float32)[:1]
+    assert quality_knn.vote(z, base, np.array([1.0, 1, 1, 0, 0, 0]), 3)[0] == 1 and quality_knn.vote(z, base, np.array([0.0, 0, 1, 1, 1, 1]), 3)[0] == pytest.approx(1 / 3)
+
+
+def plain_scores(rows, labels, sample_ids, k=quality_knn.K):
+    """Cosines of every text to every labelled one, one pair at a time."""
+    counts = {i: quality_knn.term_counts(t.encode() if t is not None else None) for i, t, *_ in rows}
+    df = sum((c > 0).astype(float) for c in counts.values())
+    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    ids = sorted(sample_ids)
+    x = quality_knn.weighted(np.stack([counts[i] for i in ids]), idf)
+    axes = quality_knn.latent_axes(x, quality_knn.RANK)
+    base = quality_knn.unit(x @ axes)
+    out = {}
+    for i, c in counts.items():
+        if not c.any():
+            out[i] = np.mean([labels[j] for j in ids])
+            continue
+        z = quality_knn.unit(quality_knn.weighted(c[None], idf).astype(np.float32) @ axes.astype(np.float32))[0]
+        near = sorted(((-round(float(z @ b), 5), n) for n, b in enumerate(base)))[:k]
+        weight = [max(-s, 0) ** 8 + 1e-12 for s, _ in near]
+        out[i] = sum(w * labels[ids[n]] for w, (_, n) in zip(weight, near, strict=True)) / sum(weight)
+    return out
+
+
+def test_scores_are_those_of_plain_pairs(spark):
+    rows, labels = labelled(150)
+    docs = X.frame(spark, [*rows, (7000, None, None, None), (7001, rows[3][1], None, None)])
+    got = {r.doc_id: r.score for r in quality_knn.score(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    learned = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = plain_scores([*rows, (7000, None), (7001, rows[3][1])], dict(labels), learned)
+    assert got == {i: pytest.approx(v, abs=5e-3) for i, v in want.items()} and got[7001] == got[3]
+    assert np.mean([abs(got[i] - want[i]) < 1e-4 for i in got]) > 0.95
+
+
+def test_long_texts_are_counted_in_segments():
+    text = b"alpha beta  gamma\n" * 5000
+    assert (quality_knn.word_ids(text, 1000) == quality_knn.word_ids(text)).all() and len(quality_knn.word_ids(text, 1)) == 15_000
+    c = quality_knn.term_counts(text)
+    assert (quality_knn.unpacked([quality_knn.packed(c)])[0] == c).all()
+
+
 def test_vote_is_exact():
     rng = np.random.default_rng(1)
     base, y, z = quality_knn.unit(rng.standard_normal((50, 8))), rng.integers(0, 2, 50).astype(float), quality_knn.unit(rng.standard_normal((9, 8)))
@@ -148,13 +192,82 @@ def test_languages_unlearned(spark):
     assert L.identify(X.frame(spark, [])).count() == 0
 
 
-def test_pooling_is_that_of_each_word():
-    model = L.BiGRU(["a", "b"], seed=1)
-    text = "one two one " + "y" * 70
-    label, score = L.Pooler(model).label([text, None])[0]
-    logp, prob = model.sums([p for w in L.words_of(text) for p in L.pieces_of(w)])
-    best = int(logp.sum(0).argmax())
-    assert label == model.languages[best] and score == pytest.approx(prob.sum(0)[best] / 79)
+def plain_label(model, text, own, around):
+    """A text's languages byte by byte in plain loops: slices with context, a state from each end, pooled letters."""
+    w, h = {k: v.astype(float) for k, v in model.w.items()}, model.hidden
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    logp, prob, n = np.zeros(len(model.languages)), np.zeros(len(model.languages)), 0
+    for at in range(0, len(text), own):
+        lo, hi = max(0, at - around), min(len(text), at + own + around)
+        states = {}
+        for d, order in (("f", range(lo, hi)), ("b", range(hi - 1, lo - 1, -1))):
+            state = np.zeros(h)
+            for i in order:
+                x = w[f"x{d}"][text[i]] + w[f"b{d}"]
+                zr = sig(x[: 2 * h] + state @ w[f"u{d}"])
+                state = state + zr[:h] * (np.tanh(x[2 * h :] + (zr[h:] * state) @ w[f"c{d}"]) - state)
+                states[d, i] = state
+        for i in range(at, min(len(text), at + own)):
+            if 97 <= text[i] <= 122 or text[i] >= 128:
+                x = np.concatenate([states["f", i], states["b", i]]) @ w["o"] + w["ob"]
+                p = np.exp(x - x.max())
+                p /= p.sum()
+                logp, prob, n = logp + np.log(p), prob + p, n + 1
+    return (model.languages[int(logp.argmax())], prob[logp.argmax()] / n) if n else ("und", 0.0)
+
+
+def test_labels_are_those_of_plain_loops():
+    model = L.BiGRU(["a", "b", "c"], seed=1)
+    texts = ["one two, one", "", None, "123", "ä", "straße " * 150, "x" * 1000, "end."]
+    got = L.label(model, [t.encode() if t is not None else None for t in texts])
+    for t, (lang, score) in zip(texts, got, strict=True):
+        want = plain_label(model, (t or "").encode(), L.SLICE, L.CONTEXT)
+        assert lang == want[0] and score == pytest.approx(want[1], abs=1e-4)
+    for t, one in zip(texts, got, strict=True):  # the batch plays no part
+        alone = L.label(model, [t.encode() if t is not None else None])[0]
+        assert alone[0] == one[0] and alone[1] == pytest.approx(one[1], abs=1e-5)
+
+
+def test_long_texts_keep_their_language():
+    model = L.BiGRU(["a", "b"], seed=2)
+    words = b"wing sch \xc3\xa4b " * 40_000  # 440 kB in 1,146 slices
+    assert L.label(model, [words])[0][0] == L.label(model, [words[: 14 * 500]])[0][0]
+    parts = L.cut(words)
+    assert b"".join(p[a:b] for p, a, b in parts) == words and max(len(p) for p, _, _ in parts) <= L.SLICE + 2 * L.CONTEXT
+    assert [len(L.spread(words[:n])) for n in (0, 10, 97, 5000)] == [1, 1, 1, 8] and L.spread(words)[-1] == words[-(len(words) % 96) - 96 : len(words) - len(words) % 96]
+
+
+def test_rare_languages_and_repeats_are_learned(spark):
+    rows = [(i, "the thing with wings", "en", "s") for i in range(700)] + [(i, "sch und ein", "de", "s") for i in range(700, 703)]
+    rows += [(None, "null rows", "en", "s")] * 5 + [(5, "the thing with wings", "en", "s")] * 50 + [(9000, "½ ② 12", "en", "s")]
+    got = L.training_slices(X.frame(spark, rows), 2, 4)
+    de = [s for lang, s in got if lang == "de"]
+    assert de and set(de) == {b"sch und ein"} and 300 < len(got) <= 704 and not any(b"null" in s or b"12" in s for _, s in got)
+
+
+def test_numbers_that_look_like_letters_are_und(spark):
+    rows = language_rows(60) + [(7000 + i, t, "en", "s") for i, t in enumerate(["½ ²", "①", "Ⅷ 12", "_"])]
+    got = {r.doc_id: r for r in L.identify(X.frame(spark, rows), steps=5).collect()}
+    assert all(got[7000 + i].lang_pred == "und" and got[7000 + i].score == 0 for i in range(4))
+
+
+@pytest.mark.parametrize("n", [400, 30_000])
+def test_samples_are_whole(spark, n):
+    """Min(most, n) keys of sparse rows, whatever repeats; the same ones whatever the layout."""
+    from tidemark.llm.common import hash_sample
+
+    rows = spark.range(200_000).withColumn("label", F.when(F.col("id") % (200_000 // n) == 0, F.col("id") % 2))
+    usable = rows.where("label IS NOT NULL")
+    usable = usable.unionByName(usable.where("id = 0").crossJoin(spark.range(3000).select()))
+    got = [r.id for r in hash_sample(usable, ["id"], 3000).collect()]
+    total = usable.select("id").distinct().count()
+    assert len(got) == len(set(got)) == min(3000, total)
+    assert set(got) == {r.id for r in hash_sample(usable.repartition(7), ["id"], 3000).collect()}
+    by = hash_sample(usable.withColumn("rare", F.when(F.col("id") < 2000, "r").when(F.col("id") > 150_000, "c")), ["id"], 100, by="rare")
+    kinds = {r.rare: r.n for r in by.groupBy("rare").agg(F.count(F.lit(1)).alias("n")).collect()}
+    held = {"r": "id < 2000", "c": "id > 150000", None: "id BETWEEN 2000 AND 150000"}
+    assert kinds == {k: min(100, usable.where(on).select("id").distinct().count()) for k, on in held.items()}
+    assert hash_sample(usable.limit(0), ["id"], 10).count() == 0
 
 
 # --- mixing ----------------------------------------------------------------------------------------------------

@@ -51,29 +51,89 @@ def test_normalised():
     assert texts == [[b"a", b"b", b"c"], [], ["É1".encode(), b"x"], []]
 
 
+WRAPPED_MIT = """Copyright (c) 2019 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software"""
+WRAPPED_APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+"""
+WRAPPED_BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:"""
 LICENCES = [
     ("Released under the MIT License.", ["mit"]),
     ("Copyright 2020. Licensed under the Apache License, Version 2.0 (the License).", ["apache"]),
     ("This work is licensed under the GNU General Public License, version 3.", ["gpl"]),
+    ("GNU GENERAL PUBLIC LICENSE Version 2", ["gpl"]),
+    ("  GNU GENERAL PUBLIC LICENSE\n     Version 3, 29 June 2007", ["gpl"]),
+    ("under the GNU Lesser General Public License, version 3", ["lgpl"]),
     ("Licensed under CC BY-NC 4.0.", ["cc-by-nc"]),
+    ("Licensed under CC BY-SA 4.0.", ["cc-by-sa"]),
+    ("Licensed under CC BY 4.0.", ["cc-by"]),
+    ("Licensed under the ISC license", ["isc"]),
+    ("Licensed under the Eclipse Public License, Version 2.0", ["epl"]),
+    ("// SPDX-License-Identifier: MIT", ["mit"]),
+    (WRAPPED_MIT, ["mit"]),
+    (WRAPPED_APACHE, ["apache"]),
+    (WRAPPED_BSD, ["bsd"]),
+    ("Licensed under CC BY-NC-SA 4.0.", []),
+    ("Licensed under the Artistic License 2.0", []),
+    ("Licensed under the zlib license", []),
+    ("She got permission from MIT to study.", []),
     ("The license of my car is under review, version 3 is free.", []),
     ("A plain line of words about software and the public.", []),
     ("", []),
 ]
+AROUND = ["{}", "Some words here.\n{}\nMore words there.", "One paragraph.\n\n{}\n\nAnother one of words.", " ".join(f"word{i}" for i in range(70)) + "\n{}\n" + "and on " * 90]
 
 
-def test_licences(spark):
-    texts = [(5000 + i, f"Some words here.\n{line}\nMore words there.", None, None) for i, (line, _) in enumerate(LICENCES)] + ROWS
+@pytest.fixture(scope="module")
+def model(spark):
+    return license_scan.train(X.frame(spark, ROWS))
+
+
+def test_planted_notices(model):
+    """Each notice in each surrounding: none is missed, none is found where there is none, none gets another's name."""
+    found = [(fill.format(text), families, {f[2] for f in license_scan.find(model, [fill.format(text).encode()])[0][1]}) for text, families in LICENCES for fill in AROUND]
+    assert [(t, want, got) for t, want, got in found if set(want) != got] == []
+
+
+def test_paragraphs_and_blocks(model, monkeypatch):
+    text = (WRAPPED_MIT + "\n *\n\n" + WRAPPED_APACHE).encode()
+    n, found = license_scan.find(model, [text])[0]
+    assert n == 4 and {(p, line, f) for p, line, f, *_ in found} >= {(1, 2, "mit"), (2, 9, "apache")}
+    words = " ".join(f"w{i}" for i in range(5000)).encode()
+    text = words + b"\nReleased under the MIT License.\n" + words + b" licensed under\nthe ISC license " + words
+    whole = license_scan.find(model, [text, None, b"\n# \n"])
+    assert [w[0] for w in whole] == [1, 0, 0] and sorted((f[1], f[2]) for f in whole[0][1]) == [(1, "mit"), (2, "isc")]
+    for block in (24, 240, 4800):
+        monkeypatch.setattr(license_scan, "BLOCK_WORDS", block)
+        assert license_scan.find(model, [text])[0] == whole[0]
+
+
+def test_licences(spark, model):
+    texts = [(5000 + i, AROUND[1].format(line), None, None) for i, (line, _) in enumerate(LICENCES)] + ROWS
+    texts += [(5000, AROUND[1].format(LICENCES[0][0]), None, None)]  # a repeated row
     docs = X.frame(spark, texts + [(9999, None, None, None)])
-    found = {r.doc_id: r for r in license_scan.scan(docs).collect() if r.doc_id is not None}
+    rows = license_scan.scan(docs).collect()
+    found = {r.doc_id: r for r in rows if r.doc_id is not None}
     for i, (_, families) in enumerate(LICENCES):
-        assert [f.family for f in found[5000 + i].found] == families, LICENCES[i]
+        assert sorted({f.family for f in found[5000 + i].found}) == families, LICENCES[i]
+    assert len(rows) == len(texts) + 1 and len([r for r in rows if r.doc_id == 5000 and r.found == found[5000].found]) == 2
     assert found[9999].n_paragraphs == 0
-    assert license_scan.scan(X.frame(spark, [])).count() == 0
+    assert license_scan.scan(X.frame(spark, []), model).count() == 0
 
 
 def test_order_confirms():
     words = license_scan.words_of(b"released under the mit license")
     family = license_scan.FAMILIES.index("mit")
-    assert license_scan.confirmed(family, words) == 1.0
-    assert license_scan.confirmed(family, words[::-1]) < license_scan.CONFIRM
+    assert license_scan.confirmed(family, words)[0] == 1.0
+    assert license_scan.confirmed(family, words[::-1])[0] < license_scan.CONFIRM
+    assert license_scan.aligned([b"a", b"b", b"c"], [b"x", b"a", b"b", b"y", b"c"]) == (1.0, 1, 5)

@@ -329,7 +329,9 @@ def training_set(corpus: list[list[bytes]], seed: int = 2) -> tuple[list[list[by
             return scattered(n)
         return corpus[rng.integers(len(corpus))][:n]
 
-    unknown = [w for w in corpus if not TRIGGERS & set(w) or all(confirmed(k, w)[0] < CONFIRM for k in range(len(FAMILIES) - 1))]
+    # A span that shares three words in a row with a template may be a part of a notice: it is no example of either.
+    runs = {tuple(words[i : i + 3]) for _, _, words in _ALL for i in range(len(words) - 2)}
+    unknown = [w for w in corpus if runs.isdisjoint(zip(w, w[1:], w[2:], strict=False))]
     unknown += [scattered(int(rng.integers(3, SPAN))) for _ in range(400)]
     # A licence's words out of order, the words that all licences share, and other families' notices aren't a family.
     for _ in range(800):

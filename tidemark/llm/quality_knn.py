@@ -6,9 +6,15 @@ sample of labelled documents gives the latent axes. The sample's vectors, of a s
 broadcast; every document meets all of them in exact blocked cosine products, and the labels of its K nearest
 vote with weights that grow with similarity.
 
+A text is read by Python once: its counts are written, packed, and the frequencies, the sample and the scores are made
+of them.
+
 Defined results: a null or blank text has no terms and no neighbours, and its score is the share of label 1 in the
-sample; a null doc_id keeps its row (its text for the fold is empty); with no label at all the score is 0.5; labels
-that repeat a doc_id count once, with the least label.
+sample; a null doc_id keeps its row (its text for the fold is empty) and is never learned from; with no label at all
+the score is 0.5; labels that repeat a doc_id count once, with the least label, and rows that repeat one are learned
+from as one, the one of the least counts; similarities are compared to five decimals, and of neighbours that tie at
+the last place those with the smallest doc_id vote; repeated rows have equal scores; a very long text is counted in
+segments; an empty table gives an empty result; the columns that are named are read, so no other can clash.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, id_text_mod, slices
+from tidemark.llm.common import by_batch, id_text_mod, materialise, slices
 from tidemark.llm.quality_rules import labelled_sample
 
 #: At most so many labelled documents, those with the smallest hash of their id; SAMPLE * RANK floats are broadcast.
@@ -52,14 +58,28 @@ class _Terms(dict):
 _TERMS = _Terms()
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def word_ids(text: bytes, at_once: int = 1 << 20) -> np.ndarray:
+    """The packed hashes of a text's words; a long text's words are split up a segment at a time."""
+    out, at = [], 0
+    while at < len(text):
+        end = _BLANK.search(text, at + at_once) if at + at_once < len(text) else None
+        to = end.start() if end else len(text)
+        words = text[at:to].split()
+        out.append(np.fromiter(map(_TERMS.__getitem__, words), np.uint64, len(words)))
+        at = to
+    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def term_counts(text: bytes | None) -> np.ndarray:
     """The counts of the hashed terms of one text."""
-    words = (text or b"").split()
     out = np.zeros(DIMS)
-    n = len(words)
+    ids = word_ids(text or b"")
+    n = len(ids)
     if not n:
         return out
-    ids = np.fromiter(map(_TERMS.__getitem__, words), np.uint64, n)
     shape, word = ids >> np.uint64(40), ids & np.uint64(0xFFFFFFFFFF)
     out[:SHAPES] = np.bincount((shape % SHAPES).astype(np.int64), minlength=SHAPES)
     pair = (shape[1:] * np.uint64(31) + shape[:-1]) % np.uint64(PAIRS)
@@ -101,59 +121,75 @@ def latent_axes(x: np.ndarray, rank: int, seed: int = 11) -> np.ndarray:
     return (q @ v.T)[:, :rank]
 
 
-def idf_of(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def packed(counts: np.ndarray) -> bytes:
+    """The places that aren't zero, and their counts."""
+    at = np.nonzero(counts)[0]
+    return at.astype("<u2").tobytes() + counts[at].astype("<u4").tobytes()
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMS))
+    for i, raw in enumerate(rows):
+        n = len(raw) // 6
+        out[i, np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<u4", n, 2 * n)
+    return out
+
+
+def counted(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(doc_id, terms): the packed counts of each text."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batch, 1, 4_000_000):
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([packed(term_counts(x.as_py())) for x in piece.column(1)], pa.binary())], ["doc_id", "terms"])
+
+    ready = docs.select("doc_id", F.col(text_col).cast("binary").alias("text"))
+    return ready.mapInArrow(by_batch(run), f"doc_id {ready.schema['doc_id'].dataType.simpleString()}, terms binary")
+
+
+def idf_of(counts: DataFrame) -> np.ndarray:
     """Inverse document frequencies over all documents: each batch sums its own; DIMS + 1 rows reach the driver."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        df = np.zeros(DIMS + 1, np.int64)
-        for text in batch.column(0):
-            df[:-1] += term_counts(text.as_py()) > 0
+        at = [np.frombuffer(raw, "<u2", len(raw) // 6) for raw in batch.column(0).to_pylist()]
+        df = np.bincount(np.concatenate([np.empty(0, np.uint16), *at]), minlength=DIMS + 1)
         df[-1] = batch.num_rows
-        at = np.nonzero(df)[0]
-        return pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
+        held = np.nonzero(df)[0]
+        return pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], ["term", "n"])
 
-    parts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(by_batch(run), "term long, n long")
+    parts = counts.select("terms").mapInArrow(by_batch(run), "term long, n long")
     total = np.zeros(DIMS + 1)
     for term, n in parts.groupBy("term").agg(F.sum("n").alias("n")).collect():
         total[term] = n
     return np.log((1 + total[-1]) / (1 + total[:-1])) + 1
 
 
-def labelled_counts(docs: DataFrame, labels: DataFrame, sample: int, fold: int, folds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Term counts and labels of a bounded sample outside the held-out fold."""
+def labelled_counts(counts: DataFrame, labels: DataFrame, sample: int, fold: int, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Term counts and labels of a bounded sample outside the held-out fold, by doc_id."""
     chosen = F.broadcast(labelled_sample(labels.where(id_text_mod(F.col("doc_id"), folds) != fold), sample))
-    found = docs.join(chosen, F.col("doc_id") == F.col("labelled")).select(F.col("labelled"), F.col("label").cast("long").alias("label"), F.col("text").cast("binary").alias("text"))
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batch, 2, 1_000_000):
-            rows = [term_counts(x.as_py()) for x in piece.column(2)]
-            packed = [np.concatenate([np.nonzero(r)[0], r[np.nonzero(r)[0]]]).astype("<i4").tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(packed, pa.binary())], ["labelled", "label", "terms"])
-
-    got = found.mapInArrow(by_batch(run), "labelled long, label long, terms binary").groupBy("labelled").agg(F.min(F.struct("label", "terms")).alias("s")).select("labelled", "s.*").collect()
-    got.sort(key=lambda r: r["labelled"])
-    x = np.zeros((len(got), DIMS))
-    for i, r in enumerate(got):
-        at, n = np.frombuffer(r["terms"], "<i4").reshape(2, -1)
-        x[i, at] = n
-    return x, np.array([r["label"] for r in got], float)
+    found = counts.join(chosen, F.col("doc_id") == F.col("labelled")).groupBy("labelled").agg(F.min(F.struct("label", "terms")).alias("s"))
+    got = sorted(found.select("labelled", "s.*").collect(), key=lambda r: r["labelled"])
+    return unpacked([bytes(r["terms"]) for r in got]), np.array([r["label"] for r in got], float)
 
 
 def vote(z: np.ndarray, base: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
-    """For rows of unit vectors the similarity-weighted share of label 1 among the k nearest labelled vectors."""
-    sims = z @ base.T
+    """For rows of unit vectors the similarity-weighted share of label 1 among the k nearest labelled vectors. Ties at the
+    k-th place go to the first of them."""
+    sims = np.round(z @ base.T, 5)
     k = min(k, base.shape[0])
-    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    weight = np.clip(np.take_along_axis(sims, near, 1), 0, None).astype(float) ** 8 + 1e-12
-    return np.clip((weight * labels[near]).sum(1) / weight.sum(1), 0, 1)
+    last = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]
+    above, level = sims > last, sims == last
+    room = k - above.sum(axis=1, keepdims=True)
+    near = above | (level & (np.cumsum(level, axis=1) <= room))
+    weight = np.where(near, np.clip(sims, 0, None).astype(float) ** 8 + 1e-12, 0.0)
+    return np.clip(weight @ labels / weight.sum(1), 0, 1)
 
 
 def score(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, sample: int = SAMPLE, rank: int = RANK, k: int = K, block: int = 256) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", "text")
-    idf = idf_of(texts)
-    x, y = labelled_counts(texts, labels, sample, fold, folds)
+    counts = materialise(counted(docs.select("doc_id", "text")), "term-counts")
+    idf = idf_of(counts)
+    x, y = labelled_counts(counts, labels, sample, fold, folds)
     prior = float(y.mean()) if len(y) else 0.5
     if len(y):
         x = weighted(x, idf)
@@ -168,12 +204,11 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 1, folds: int = 3, sam
             out = np.full(piece.num_rows, prior)
             if model is not None:
                 idf, axes, base, y = model.value
-                counts = np.stack([term_counts(t.as_py()) for t in piece.column(1)])
-                has = counts.any(axis=1)
+                x = unpacked(piece.column(1).to_pylist())
+                has = x.any(axis=1)
                 if has.any():
-                    out[has] = vote(unit(weighted(counts[has], idf).astype(np.float32) @ axes), base, y, k)
+                    out[has] = vote(unit(weighted(x[has], idf).astype(np.float32) @ axes), base, y, k)
             yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(out)], ["doc_id", "score"])
 
-    ready = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
-    scored = ready.mapInArrow(by_batch(run), f"doc_id {ready.schema['doc_id'].dataType.simpleString()}, score double")
+    scored = counts.mapInArrow(by_batch(run), f"doc_id {counts.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (id_text_mod(F.col("doc_id"), folds) == fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
