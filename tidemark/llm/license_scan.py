@@ -320,25 +320,26 @@ def unknown_sample(docs: DataFrame, most: int) -> list[list[bytes]]:
 def training_set(corpus: list[list[bytes]], seed: int = 2) -> tuple[list[list[bytes]], np.ndarray]:
     """Variations of the templates inside other words, and spans of unknown text."""
     rng = np.random.default_rng(seed)
-    filler = sorted({w for x in corpus for w in x} | set(words_of(b"software work file project author the and public version terms copy")))
+    # A span that shares three words in a row with a template may be a part of a notice: it is no example of either.
+    runs = {tuple(words[i : i + 3]) for _, _, words in _ALL for i in range(len(words) - 2)}
+    unknown = plain = [w for w in corpus if runs.isdisjoint(zip(w, w[1:], w[2:], strict=False))]
+    filler = sorted({w for x in plain for w in x} | set(words_of(b"software work file project author the and public version terms copy")))
+    names = sorted(set(filler) - {w for _, _, words in _ALL for w in words}) or [b"other"]
     scattered = lambda n: [filler[i] for i in rng.integers(0, len(filler), n)]
 
     def context(most: int) -> list[bytes]:
         n = int(rng.integers(0, most + 1))
-        if not corpus or rng.random() < 0.3:
+        if not plain or rng.random() < 0.3:
             return scattered(n)
-        return corpus[rng.integers(len(corpus))][:n]
+        return plain[rng.integers(len(plain))][:n]
 
-    # A span that shares three words in a row with a template may be a part of a notice: it is no example of either.
-    runs = {tuple(words[i : i + 3]) for _, _, words in _ALL for i in range(len(words) - 2)}
-    unknown = [w for w in corpus if runs.isdisjoint(zip(w, w[1:], w[2:], strict=False))]
-    unknown += [scattered(int(rng.integers(3, SPAN))) for _ in range(400)]
+    unknown = unknown + [scattered(int(rng.integers(3, SPAN))) for _ in range(400)]
     # A licence's words out of order, the words that all licences share, and other families' notices aren't a family.
     for _ in range(800):
         words = _ALL[rng.integers(len(_ALL))][2]
         unknown.append(context(12) + [words[i] for i in rng.permutation(len(words))[: max(2, len(words) // 3)]] + context(12))
     for _ in range(900):
-        name = UNLISTED[rng.integers(len(UNLISTED))] if rng.random() < 0.7 else scattered(1)[0].decode("utf-8", "replace")
+        name = UNLISTED[rng.integers(len(UNLISTED))] if rng.random() < 0.7 else names[rng.integers(len(names))].decode("utf-8", "replace")
         unknown.append(context(12) + words_of(FORMS[rng.integers(len(FORMS))].format(name).encode()) + context(12))
     out, target = [], []
     for k, must, words in _ALL:
