@@ -61,18 +61,18 @@ def holding(texts: DataFrame, phrases: DataFrame, gram: int = GRAM) -> DataFrame
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # gram values at most
     if not sizes:
         return texts.select(F.lit(None).cast(phrases.schema["phrase_id"].dataType).alias("phrase_id"), "id").limit(0)
-    words = F.split("hay", " ")
+    words = F.col("__words")
 
     def runs_of(n: int) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
         return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
 
-    own = [runs_of(n) for n in sizes]
-    held = texts.where(F.coalesce("hay", F.lit("")) != "").select("id", F.explode(F.array_distinct(F.flatten(F.array(*own)))).alias("held"))
+    split = with_once(texts.where(F.coalesce("hay", F.lit("")) != "").select("id", "hay"), __words=F.split("hay", " "))
+    held = split.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[runs_of(n) for n in sizes])))).alias("held"))
     near = held.join(wanted, F.col("held") == F.col("run")).select("id", "phrase_id", "phrase")
     hay = texts.select(F.col("id").alias("__id"), F.concat(F.lit(" "), "hay", F.lit(" ")).alias("__hay"))
-    long = near.where(F.size(word) > gram).join(hay, F.col("id") == F.col("__id")).where(F.contains("__hay", F.concat(F.lit(" "), "phrase", F.lit(" "))))
-    return long.select("phrase_id", "id").unionByName(near.where(F.size(word) <= gram).select("phrase_id", "id")).distinct()
+    whole = F.contains("__hay", F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    return near.join(hay, F.col("id") == F.col("__id")).where(whole).select("phrase_id", "id").distinct()
 
 
 def interpretation(result: DataFrame, control: str = "A", test: str = "B", mechanism: str = "C", by: list[str] | None = None) -> DataFrame:
