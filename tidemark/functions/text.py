@@ -6,6 +6,7 @@ White space is what Python's str.isspace has, spelled out, as the regular expres
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,11 @@ def word_count(clean: Column) -> Column:
     return F.regexp_count(clean, F.lit("[^ ]+"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def with_once(df: DataFrame, **columns: Column) -> DataFrame:
     """df with more columns, computed once a row whatever uses them after: filters on them aren't pushed through the
     generator that makes them, where a projection would be copied into the filter."""

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.text import let
+
 #: A placeholder, to be set against labelled data.
 CONCERN_THRESHOLD = 0.50
 # What the model's labels stand for.
@@ -146,13 +148,11 @@ STOP_WORDS = {
 
 def language_of(col: Column) -> Column:
     """The language with most stop words, by plain counts in the JVM; ties, and texts without any, go to none."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1))
-    listed = F.array(*[F.lit(w) for w in sorted(frozenset().union(*STOP_WORDS.values()))])
-    known = F.filter(words, lambda w: F.array_contains(listed, w))
-    share = lambda own: F.size(F.filter(known, lambda w: w.isin(*sorted(own))))
-    hits = [F.struct(share(own).alias("n"), F.lit(lang).alias("lang")) for lang, own in STOP_WORDS.items()]
-    ranked = F.sort_array(F.array(*hits), asc=False)
-    return F.when(F.element_at(ranked, 1)["n"] > F.element_at(ranked, 2)["n"], F.element_at(ranked, 1)["lang"])
+    listed = sorted(frozenset().union(*STOP_WORDS.values()))
+    known = F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(rf"(?<!\p{{L}})({'|'.join(listed)})(?!\p{{L}})"), F.lit(1))
+    hits = lambda words: F.array(*[F.struct(F.size(F.filter(words, lambda w: w.isin(*sorted(own)))).alias("n"), F.lit(lang).alias("lang")) for lang, own in STOP_WORDS.items()])
+    best = lambda ranked: F.when(ranked[0]["n"] > ranked[1]["n"], ranked[0]["lang"])
+    return let(known, lambda words: let(F.sort_array(hits(words), asc=False), best))
 
 
 def is_english(col: Column) -> Column:
