@@ -291,12 +291,14 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id
     discard(seen, first)
 
     seeds = base.where("NOT copy").select("doc", "part", F.explode(F.arrays_zip("grams", "places")).alias("x"))
-    seeds = seeds.select("doc", "part", F.col("x.grams").alias("gram"), F.col("x.places").alias("place")).distinct()
+    seeds = seeds.select("doc", "part", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
+    # Plain counts first: few anchors are shared, and only of those the earliest place is asked for.
+    often = materialise(seeds.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g"), "often")
+    shared = materialise(seeds.join(often, F.col("gram") == F.col("g"), "left_semi"), "shared")
     at = F.struct("doc", (F.shiftleft("part", 32) + F.col("place")).alias("at"))
-    often = seeds.groupBy(F.col("gram").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first")).where("n > 1")
-    often = materialise(often.select("g", F.col("first.doc").alias("e_doc"), F.col("first.at").alias("e_at")), "often")
-    linked = materialise(seeds.join(often, F.col("gram") == F.col("g")).select("doc", "part", "place", "e_doc", "e_at"), "linked")
-    discard(often)
+    holders = materialise(shared.groupBy(F.col("gram").alias("g")).agg(F.min(at).alias("e")).select("g", F.col("e.doc").alias("e_doc"), F.col("e.at").alias("e_at")), "holders")
+    linked = materialise(shared.join(holders, F.col("gram") == F.col("g")).select("doc", "part", "place", "e_doc", "e_at"), "linked")
+    discard(often, shared, holders)
     settled = settled_by_extension(ids, linked, window)
 
     shared = linked.groupBy("doc", "part").agg(F.collect_set("place").alias("seeds")).join(settled, (F.col("doc") == F.col("d")) & (F.col("part") == F.col("p")), "left")
