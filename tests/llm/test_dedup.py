@@ -156,6 +156,32 @@ def test_forest_radius():
             assert {i: int(got[i]) for i in own} == want
 
 
+@pytest.mark.parametrize("text", [r[1] for r in ROWS[::6]] + ["a b", "", " x ", "a b c", "a b c d"])
+def test_shingles_by_parts(text):
+    raw = (text or "").encode()
+    for at_once in (1, 5, 64):
+        assert simhash_dedup.shingle_hashes(raw, 3, at_once=at_once).tolist() == simhash_dedup.shingle_hashes(raw, 3).tolist()
+
+
+def test_recall_by_similarity():
+    """Planted pairs: those of a Jaccard similarity of 0.8 or more meet in a band and lie within the last radius."""
+    rng = np.random.default_rng(1)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    met = {0.8: [], 0.85: [], 0.9: []}
+    for _ in range(900):
+        base = words(int(rng.integers(60, 300)))
+        copy = list(base)
+        for at in rng.choice(len(base), max(1, int(len(base) * rng.uniform(0.005, 0.045))), replace=False):
+            copy[at] = words(1)[0]
+        a, b = (simhash_dedup.shingle_set(" ".join(x).encode(), 5) for x in (base, copy))
+        alike = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        near = sum((simhash_dedup.majority(simhash_dedup.mixed(a, k)) ^ simhash_dedup.majority(simhash_dedup.mixed(b, k))).bit_count() for k in range(4)) <= simhash_dedup.LAST_RADIUS
+        for low in met:
+            if low <= alike < low + 0.05:
+                met[low].append(near and bool((simhash_dedup.band_keys(a) == simhash_dedup.band_keys(b)).any()))
+    assert all(len(x) > 100 and np.mean(x) > 0.99 for x in met.values())
+
+
 def test_edges_make_the_forest():
     rng = np.random.default_rng(7)
     fps = (rng.integers(0, 2**62, 200).astype(np.uint64) & np.uint64(0xFF))[:, None]

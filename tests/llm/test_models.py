@@ -19,7 +19,8 @@ ROWS = X.corpus()
 
 @pytest.mark.parametrize("text", [r[1] for r in ROWS[::5]] + [None, "", "a b c d e a b c d e f", "l x\nl x\n\n\nl x", "é# ##|<>&%$*", "x " * 50])
 def test_counts(text):
-    assert quality_rules.counts_of(text.encode() if text is not None else None)[:5] == X.plain_counts(text)
+    raw = text.encode() if text is not None else None
+    assert quality_rules.counts_of(raw)[:5] == X.plain_counts(text) and quality_rules.counts_of(raw, 3) == quality_rules.counts_of(raw)
 
 
 def labelled(n=600, seed=3):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -147,6 +148,22 @@ def by_batch(f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordB
     return run
 
 
+_BLANK = re.compile(rb"[ \t-\r]")
+
+
+def parts_of(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """A text in parts of some ``most`` bytes that end where a word ends, so that the words of a long text needn't all be
+    held at once."""
+    at = 0
+    while len(text) - at > most:
+        end = _BLANK.search(text, at + most)
+        if end is None:
+            break
+        yield text[at : end.start()]
+        at = end.start()
+    yield text[at:] if at else text
+
+
 def field_of(rows: pa.StructArray, name: str) -> pa.Array:
     """A text column of a column of structs as bytes; null where the struct or the text is."""
     return rows.field(rows.type.get_field_index(name)).cast(pa.binary())

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, hash_sample, slices
+from tidemark.llm.common import by_batch, hash_sample, parts_of, slices
 
 #: Bits of the feature space, and the bound of the documents whose spans stand for unknown text in training.
 BITS, SAMPLE_DOCS = 16, 3_000
@@ -368,19 +368,22 @@ def paragraphs(text: bytes) -> Iterator[tuple[int, list[bytes], list[int], list[
     that spans share. place is the block's first word in the paragraph, a multiple of STRIDE."""
     number, words, starts, lines, place = 0, [], [], [], 0
     for at, line in enumerate(text.split(b"\n")):
-        found = words_of(line)
-        if not found and words:
+        blank = True
+        for part in parts_of(line):
+            found = words_of(part)
+            if found:
+                blank = False
+                starts.append(len(words))
+                lines.append(at)
+                words += found
+            while len(words) >= BLOCK_WORDS + SPAN:
+                yield number, words[: BLOCK_WORDS + SPAN - STRIDE], starts, lines, place
+                words, place = words[BLOCK_WORDS:], place + BLOCK_WORDS
+                from_line = bisect_right(starts, BLOCK_WORDS) - 1
+                starts, lines = [max(0, s - BLOCK_WORDS) for s in starts[from_line:]], lines[from_line:]
+        if blank and words:
             yield number, words, starts, lines, place
             number, words, starts, lines, place = number + 1, [], [], [], 0
-        if found:
-            starts.append(len(words))
-            lines.append(at)
-            words += found
-        while len(words) >= BLOCK_WORDS + SPAN:
-            yield number, words[: BLOCK_WORDS + SPAN - STRIDE], starts, lines, place
-            words, place = words[BLOCK_WORDS:], place + BLOCK_WORDS
-            from_line = bisect_right(starts, BLOCK_WORDS) - 1
-            starts, lines = [max(0, s - BLOCK_WORDS) for s in starts[from_line:]], lines[from_line:]
     if words:
         yield number, words, starts, lines, place
 

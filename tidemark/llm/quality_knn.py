@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, id_text_mod, materialise, slices
+from tidemark.llm.common import by_batch, id_text_mod, materialise, parts_of, slices
 from tidemark.llm.quality_rules import labelled_sample
 
 #: At most so many labelled documents, those with the smallest hash of their id; SAMPLE * RANK floats are broadcast.
@@ -58,19 +58,13 @@ class _Terms(dict):
 _TERMS = _Terms()
 
 
-_BLANK = re.compile(rb"[ \t-\r]")
-
-
 def word_ids(text: bytes, at_once: int = 1 << 20) -> np.ndarray:
-    """The packed hashes of a text's words; a long text's words are split up a segment at a time."""
-    out, at = [], 0
-    while at < len(text):
-        end = _BLANK.search(text, at + at_once) if at + at_once < len(text) else None
-        to = end.start() if end else len(text)
-        words = text[at:to].split()
+    """The packed hashes of a text's words; a long text's words are split up a part at a time."""
+    out = []
+    for part in parts_of(text, at_once):
+        words = part.split()
         out.append(np.fromiter(map(_TERMS.__getitem__, words), np.uint64, len(words)))
-        at = to
-    return out[0] if len(out) == 1 else np.concatenate(out) if out else np.empty(0, np.uint64)
+    return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def term_counts(text: bytes | None) -> np.ndarray:

@@ -16,7 +16,6 @@ an empty table gives an empty result; the columns of docs come back inside ``row
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import by_batch, field_of, hash_sample
+from tidemark.llm.common import by_batch, field_of, hash_sample, parts_of
 
 #: At most so many labelled documents are learned from: those with the smallest hash of their id.
 SAMPLE = 20_000
@@ -48,46 +47,45 @@ RATIOS = {
 }
 
 
-def repeat_words(words: list[bytes], size: int = 5) -> int:
-    """Words inside a window of ``size`` words that the text has twice or more, the first included.
+def repeat_words(word: np.ndarray, size: int = 5) -> int:
+    """Words, given as numbers, inside a window of ``size`` words that the text has twice or more, the first included.
 
     Windows become numbers by ranking pairs: equal windows have equal numbers, without hashing."""
-    n = len(words) - size + 1
-    if n < 2:
-        return 0
-    known: dict[bytes, int] = {}
-    word = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-    if len(known) == len(words):
+    if len(word) - size + 1 < 2:
         return 0
     rank, have = word, 1
     while have < size:
         step = min(have, size - have)
-        pair = rank[:-step] * np.int64(len(words) + 1) + rank[step:]
+        pair = rank[:-step] * np.int64(len(word) + 1) + rank[step:]
         rank = np.unique(pair, return_inverse=True)[1]
         have += step
     again = np.nonzero(np.bincount(rank)[rank] > 1)[0]
-    if not len(again):
-        return 0
-    return int(size + np.minimum(np.diff(again), size).sum())
+    return int(size + np.minimum(np.diff(again), size).sum()) if len(again) else 0
 
 
-def counts_of(text: bytes | None) -> tuple[int, ...]:
-    """The COUNTS of one text."""
+def counts_of(text: bytes | None, at_once: int = 1 << 20) -> tuple[int, ...]:
+    """The COUNTS of one text. A long text's words are split up a part at a time, and only their numbers kept."""
     text = text or b""
-    words = text.split()
+    known: dict[bytes, int] = {}
+    numbers, chars = [], 0
+    for part in parts_of(text, at_once):
+        words = part.split()
+        chars += len(b"".join(words).decode("utf-8", "replace"))
+        numbers.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+    word = numbers[0] if len(numbers) == 1 else np.concatenate(numbers)
     lines = [x for x in text.split(b"\n") if x.strip()]
     drop = lambda chars: len(text) - len(text.translate(None, chars))
     return (
-        len(words),
-        len(b"".join(words).decode("utf-8", "replace")),
+        len(word),
+        chars,
         drop(_SYMBOLS),
         len(lines) - len(set(lines)),
-        repeat_words(words),
+        repeat_words(word) if len(known) < len(word) else 0,
         len(lines),
         drop(_UPPER),
         drop(_DIGITS),
         drop(_POINTS),
-        sum(map(eq, words, words[1:])),
+        int(np.count_nonzero(word[1:] == word[:-1])),
     )
 
 

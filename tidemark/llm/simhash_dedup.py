@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, discard, is_empty, materialise, slices
+from tidemark.llm.common import by_batch, discard, is_empty, materialise, parts_of, slices
 from tidemark.llm.components import components
 
 MAX_LEVELS = 4
@@ -34,9 +34,7 @@ ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
-def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of each shingle of lower-cased (A-Z) words; fewer words than the width are one shingle, none is none."""
-    words = (text or b"").lower().split()
+def _hashes(words: list[bytes], width: int, seed: int) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
         return np.array([digest(b" ".join(words), seed)] if words else [], np.uint64)
@@ -47,6 +45,20 @@ def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
 
 
+def shingle_hashes(text: bytes | None, width: int, seed: int = 42, at_once: int = 1 << 20) -> np.ndarray:
+    """XXH64 of each shingle of lower-cased (A-Z) words; fewer words than the width are one shingle, none is none. A long
+    text is taken a part at a time, each with the last words of the one before."""
+    out, words = [], []
+    for part in parts_of((text or b"").lower(), at_once):
+        words += part.split()
+        if len(words) >= width:
+            out.append(_hashes(words, width, seed))
+            words = words[len(words) - width + 1 :]
+    if not out:
+        return _hashes(words, width, seed)
+    return out[0] if len(out) == 1 else np.concatenate(out)
+
+
 def majority(h: np.ndarray) -> int:
     """Bit i is set if it is set in over half of the hashes, repeats included."""
     if not len(h):
