@@ -34,7 +34,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     smallest. The result is a written table, which discard() removes. Loops and repeated edges count for nothing."""
     state = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     before = _mark(state)
-    for _ in range(most):
+    for _ in range(most if before[0] else 0):
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Written before the join, so that the join is of two plain shuffles and a hub's part can be split.
         lowest = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
@@ -50,4 +50,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             out._stored_at = state._stored_at
             return out
         before = now
-    raise RuntimeError("components did not settle")
+    if before[0]:
+        raise RuntimeError("components did not settle")
+    out = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out._stored_at = state._stored_at
+    return out
